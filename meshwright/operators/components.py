@@ -61,6 +61,10 @@ def spanning_stars(edges: DataFrame, by: list[str]) -> DataFrame:
     return edges.select(*by, "u", "v").mapInArrow(run, schema)
 
 
+#: Contracted edges that one task may finish in memory (16 bytes each).
+FINISH_EDGES = 500_000
+
+
 def components(edges: DataFrame, by: tuple[str, ...] = (), max_rounds: int = 60) -> DataFrame:
     """(by.., node, root) of every node with a root other than itself. edges: (by.., u, v) of longs, without nulls; direction, repetition and loops
     don't matter. `by` columns keep separate graphs apart. The result has been written to the shared folder."""
@@ -69,7 +73,12 @@ def components(edges: DataFrame, by: tuple[str, ...] = (), max_rounds: int = 60)
     e = cut(spanning_stars(e, by).distinct())
     maps: list[DataFrame] = []
     for _ in range(max_rounds):
-        if e.isEmpty():
+        left = e.count()
+        if not left:
+            break
+        if left <= FINISH_EDGES:
+            one = e.repartition(*by) if by else e.repartition(1)
+            maps.append(cut(spanning_stars(one, by).withColumnRenamed("v", "p")))
             break
         both = e.unionByName(e.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
         p = both.groupBy(*by, "u").agg(F.least("u", F.min("v")).alias("p"))
