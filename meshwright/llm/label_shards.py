@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .shared import cut, running_total, size_bytes, small
 
-SHARDS, ROUNDS = 16, 3
+SHARDS, ROUNDS = 16, 10
 
 
 def _pick(values: list[int], by: Column) -> Column:
@@ -54,13 +54,21 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     bundles = cut(linked.join(many, (F.col("g") == F.col("_g")) & (F.col("g2") == F.col("_g2"))).select("g", "g2", "start", "w", F.col("start").alias("shard")))
     for _ in range(rounds):
         room = [max(0, s - x) for s, x in zip(share, _loads(bundles, F.col("w"), shards))]
-        near = bundles.groupBy("g", "g2", "shard").agg(F.sum("w").alias("in_shard")).groupBy("g", "g2").agg(F.max(F.struct("in_shard", -F.col("shard"))).alias("best"))
-        near = near.select(F.col("g").alias("_g"), F.col("g2").alias("_g2"), (-F.col("best")["col2"]).cast("int").alias("want"))
+        near = bundles.groupBy("g", "g2", "shard").agg(F.sum("w").alias("in_shard")).groupBy("g", "g2").agg(F.collect_list(F.struct("in_shard", (-F.col("shard")).alias("minus"))).alias("in_shards"))
+        near = near.select(F.col("g").alias("_g"), F.col("g2").alias("_g2"), "in_shards")  # at most an entry for each shard
         b = bundles.join(near, (F.col("g") == F.col("_g")) & (F.col("g2") == F.col("_g2"))).drop("_g", "_g2")
+        own = F.array_max(F.filter("in_shards", lambda x: x["minus"] == -F.col("shard")))
+        # Most neighbours, where there is room; of equal shards the first. No bundle moves to fewer neighbours, so none goes back and forth.
+        best = F.array_max(F.filter("in_shards", lambda x: (x > own) & (_pick(room, (-x["minus"]).cast("int")) >= F.col("w"))))
+        b = b.withColumn("want", F.coalesce((-best["minus"]).cast("int"), F.col("shard"))).drop("in_shards")
         move = b.where("want <> shard").withColumn("bucket", F.pmod(F.xxhash64("g", "g2"), F.lit(buckets)).cast("int"))
         move = _prefix(move, ["want"], "bucket", ["g", "g2", "start"], "w", "before")
         fits = F.col("before") + F.col("w") <= _pick(room, F.col("want"))
-        bundles = cut(move.select("g", "g2", "start", "w", F.when(fits, F.col("want")).otherwise(F.col("shard")).alias("shard")).unionByName(b.where("want = shard").select("g", "g2", "start", "w", "shard")))
+        moved = cut(move.select("g", "g2", "start", "w", F.when(fits, F.col("want")).otherwise(F.col("shard")).alias("shard")).unionByName(b.where("want = shard").select("g", "g2", "start", "w", "shard")))
+        settled = moved.exceptAll(bundles).isEmpty()
+        bundles = moved
+        if settled:
+            break
     to = small(bundles.select(F.col("g").alias("_g"), F.col("g2").alias("_g2"), F.col("start").alias("_s"), F.col("shard").alias("_to")))
     on = (F.col("g") == F.col("_g")) & (F.col("g2") == F.col("_g2")) & (F.col("start") == F.col("_s"))
     placed = base.join(to, on, "left").select("doc_id", "size", "text_crc32", "u", F.coalesce("_to", "start").alias("shard"), F.col("_to").isNull().alias("free"))
