@@ -8,6 +8,7 @@ longer than a sequence are cut, and a very long one gives as many pieces as it n
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import chunks, cut
+from .shared import bounded, chunks, cut
 
 CAPACITY = 2048
-#: Pieces of one packing group, rounds of exchange, and words that a worker's cache holds.
-GROUP, ROUNDS, CACHE = 8192, 3, 600_000
+#: Pieces of one packing group, rounds of exchange, and words and parts of words that a worker's cache holds.
+GROUP, ROUNDS, CACHE, PARTS = 8192, 3, 1_000_000, 150_000
 
 
 def _byte_chars() -> list[str]:
@@ -46,10 +47,10 @@ class Coder:
         self.clear()
 
     def clear(self):
-        self.slot: dict[int, int] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.pool, self.at, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
-        self.size = np.zeros(1 << 14, np.int32)
+        """The cache: hashes of words, in order, and where their ids are in a pool. Arrays, as a worker outlives its tasks."""
+        self.known, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.pool, self.used = np.zeros(1 << 16, np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32), 0
+        self.parts: dict[str, bytes] = {}
 
     def _word(self, text: str) -> list[int]:
         if not self._PLAIN.fullmatch(text) or "<|" in text:  # its lower case or composition may depend on more than single characters
@@ -58,32 +59,41 @@ class Coder:
         for part in self._PIECE.findall(text.lower()):
             ids = self.parts.get(part)
             if ids is None:
-                ids = self.parts[part] = [t.id for t in self.tok.model.tokenize("".join([self.chars[b] for b in part.encode()]))]
-            out += ids
+                if len(self.parts) >= PARTS:
+                    self.parts.clear()
+                ids = self.parts[part] = array("I", [t.id for t in self.tok.model.tokenize("".join([self.chars[b] for b in part.encode()]))]).tobytes()
+            out += memoryview(ids).cast("I")
         return out
 
-    def _add(self, h: int, ids: list[int]):
-        k = len(self.slot)
-        if k >= len(self.at):
-            self.at, self.size = np.resize(self.at, 2 * k), np.resize(self.size, 2 * k)
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * len(self.pool))
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.at[k], self.size[k] = self.used, len(ids)
-        self.used += len(ids)
-        self.slot[h] = k
+    def _add(self, hashes: np.ndarray, words: Iterator[str]):
+        at, size, ids = [], [], []
+        used = self.used
+        for w in words:
+            own = self._word(w)
+            at.append(used)
+            size.append(len(own))
+            used += len(own)
+            ids += own
+        if used > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(used, len(self.pool)) - len(self.pool) // 2, self.pool.dtype)])
+        self.pool[self.used : used] = ids
+        self.used = used
+        place = np.searchsorted(self.known, hashes)
+        self.known, self.at, self.size = np.insert(self.known, place, hashes), np.insert(self.at, place, at), np.insert(self.size, place, size)
 
     def encode(self, a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with a 0 after it; texts' bounds in them)."""
         w = K.words(a)
         h, first, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        if len(self.slot) + len(h) > CACHE:
+        if len(self.known) + len(h) > CACHE:
             self.clear()
-        data = w.data.tobytes()
-        for x, i in zip(h.tolist(), first.tolist()):
-            if x not in self.slot:
-                self._add(x, self._word(data[w.start[i] : w.end[i]].decode()))
-        slots = np.fromiter((self.slot[x] for x in h.tolist()), np.int64, len(h))[inverse]
+        place = np.searchsorted(self.known, h)
+        new = np.flatnonzero(self.known[np.minimum(place, len(self.known) - 1)] != h) if len(self.known) else np.arange(len(h))
+        if len(new):
+            data = w.data.tobytes()
+            self._add(h[new], (data[w.start[i] : w.end[i]].decode() for i in first[new].tolist()))
+            place = np.searchsorted(self.known, h)
+        slots = place[inverse]
         size = self.size[slots].astype(np.int64)
         begin = np.concatenate([[0], np.cumsum(size)])
         ids = np.zeros(begin[-1] + w.n, np.uint32)
@@ -113,7 +123,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
         rid = (task.partitionId() if task else 0) << 36
         for b in batches:
             doc_ids = K.column(b, "doc_id").cast(pa.int64())
-            for i, a in K.pieces(K.column(b, "text"), 1 << 22, 4000):
+            for i, a in K.pieces(K.column(b, "text"), max_rows=4000):
                 ids, off = coder.encode(a)
                 odd = [k for k, t in enumerate(a) if "<|" in t.as_py()] if b"<|" in a.buffers()[2].to_pybytes() else []
                 raw, off_l = ids.tobytes(), off.tolist()
@@ -132,7 +142,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
                 )
                 rid += n
 
-    return docs.select("doc_id", "text").mapInArrow(run, _PIECES)
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, _PIECES)
 
 
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:

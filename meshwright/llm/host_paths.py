@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import cut, small
+from .shared import bounded, cut, small
 
 #: Elements and class or id words that mark what isn't the article.
 DROP_TAGS = frozenset("nav header footer aside form script style noscript template iframe svg math button select textarea menu dialog object canvas audio video head title".split())
@@ -182,7 +182,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                     tally[h, path] = tally.get((h, path), 0.0) + v
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in tally], pa.string()), pa.array([k[1] for k in tally], pa.string()), pa.array(list(tally.values()), pa.float64())], names=["host", "path", "vote"])
 
-    cast = pages.select("html", host().alias("host")).where("html is not null").mapInArrow(vote, "host string, path string, vote double")
+    cast = bounded(pages).select("html", host().alias("host")).where("html is not null").mapInArrow(vote, "host string, path string, vote double")
     won = cast.groupBy("host", "path").agg(F.sum(F.round("vote", 9)).alias("vote")).groupBy("host")
     won = cut(won.agg(F.max(F.struct(F.round("vote", 6), F.length("path"), "path")).alias("best")).select(F.col("host").alias("_host"), F.col("best.path").alias("_path")))
     # A row for each host: broadcast when a count allows; else joined by a shuffle in which hot hosts can be split.

@@ -14,6 +14,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True  # the white space of `[^\x20\x09-\x0D]+`
 _ODD = U(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95
+#: Bytes of a run of texts, and so the powers that a worker keeps; a longer text makes its own.
+PIECE = 1 << 21
+KEPT = PIECE + 1
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 
@@ -30,12 +33,16 @@ _TAB = mix(np.arange(256, dtype=U))
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64, so that a word's hash doesn't depend on its place."""
-    if len(_powers[0]) < n:
-        for i, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(max(n, 1 << 20), b, U)
-            p[0] = 1
-            _powers[i] = np.cumprod(p)
-    return _powers[0][:n], _powers[1][:n]
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    new = []
+    for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.full(max(n, 1 << 18), b, U)
+        p[0] = 1
+        new.append(np.cumprod(p))
+    if n <= KEPT:
+        _powers[:] = new
+    return new[0][:n], new[1][:n]
 
 
 def text_array(column) -> pa.Array:
@@ -45,7 +52,7 @@ def text_array(column) -> pa.Array:
     return pc.fill_null(column.cast(pa.string()), "")
 
 
-def pieces(column, max_bytes: int = 1 << 21, max_rows: int = 1000) -> Iterator[tuple[int, pa.Array]]:
+def pieces(column, max_bytes: int = PIECE, max_rows: int = 1000) -> Iterator[tuple[int, pa.Array]]:
     """(first row, texts) of runs of whole texts, of about max_bytes each, so that memory doesn't follow the batch."""
     a = text_array(column)
     if not len(a):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .gam_quality import held_out
+from .shared import bounded
 
 #: Hashed features; the bounds of the fitting sample, in rows for each language and in all.
 DIM, PER_LANG, TRAIN_ROWS, MAX_LANGS = 2048, 1500, 8000, 200
@@ -133,7 +134,7 @@ class Hierarchy:
 def learn(docs: DataFrame, per_lang: int = PER_LANG, train_rows: int = TRAIN_ROWS) -> Hierarchy:
     """The machines, fitted to a bounded sample of the rows outside the held-out fold: up to about per_lang rows of each language, by the hash
     of their id, and train_rows in all."""
-    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    known = bounded(docs).select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     per = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
     share = F.lit(0)
     for v, n in per.items():

@@ -12,6 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch of whole texts: a batch is held twice on its way to Python.
+TEXT_ROWS = 1000
+
+
+def bounded(texts: DataFrame) -> DataFrame:
+    """texts, after the session's Arrow batches were limited to TEXT_ROWS rows."""
+    conf, key = texts.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
+    return texts
+
+
 def size_bytes(text: str | Column) -> Column:
     """UTF-8 bytes, 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

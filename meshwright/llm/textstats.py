@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import kernel as K
+from .shared import bounded
 
 COUNTS = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",  # the contract's
@@ -109,4 +110,4 @@ def text_stats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
                 s = stats(a)
                 yield pa.RecordBatch.from_arrays([*(x.slice(i, len(a)) for x in own), *(pa.array(s[c].astype(np.int64)) for c in COUNTS)], names=[*carry, *COUNTS])
 
-    return docs.select(*carry, "text").mapInArrow(run, schema)
+    return bounded(docs).select(*carry, "text").mapInArrow(run, schema)
