@@ -7,6 +7,7 @@ is predicted, with none `und`; repeated rows and null ids are predicted row by r
 from __future__ import annotations
 
 import itertools
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -149,9 +150,17 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG, train_rows: int = TRAIN_ROW
 
     # The sample is chosen before any features are made: rows by the hash of their id, at each language's rate.
     pick = known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(9)), F.lit(1_000_000)) < share)
-    rows = pick.mapInArrow(featured, "lang string, x binary, letter boolean").where("letter").orderBy(F.xxhash64("x"), "x", "lang").limit(train_rows).collect()
-    x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]) if rows else np.zeros((0, DIM), np.float32)
-    return Hierarchy(x, [r["lang"] for r in rows])
+    sample = pick.mapInArrow(featured, "lang string, x binary, letter boolean").where("letter").orderBy(F.xxhash64("x"), "x", "lang").limit(train_rows)
+
+    def fitted(batches):
+        held = [b for b in batches if b.num_rows]
+        lang = [v for b in held for v in K.column(b, "lang").to_pylist()]
+        x = np.concatenate([np.frombuffer(b"".join(K.column(b, "x").to_pylist()), np.float32).reshape(b.num_rows, DIM) for b in held]) if held else np.zeros((0, DIM), np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Hierarchy(x, lang))], pa.binary())], names=["model"])
+
+    # The bounded sample is one task's, which returns the weights alone.
+    made = sample.mapInArrow(fitted, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else Hierarchy(np.zeros((0, DIM), np.float32), [])
 
 
 def _predict(model: Hierarchy, a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
