@@ -54,7 +54,7 @@ def parse_event(line: str | Column) -> Column:
     scopes = F.when(v == "global", F.array().cast("array<bigint>")).otherwise(scoped)
     whole = j["src"].isNotNull() & j["dst"].isNotNull() & scopes.isNotNull() & j["event_time_ms"].isNotNull()
     # Ids of 2**63 and more would not keep their order as signed numbers.
-    whole = whole & (j["src"] >= 0) & (j["dst"] >= 0) & (j["src"] < 1 << 63) & (j["dst"] < 1 << 63)
+    whole = whole & (j["src"] >= 0) & (j["dst"] >= 0) & (j["src"] <= (1 << 63) - 1) & (j["dst"] <= (1 << 63) - 1)
     event = F.struct(j["src"].cast("long").alias("src"), j["dst"].cast("long").alias("dst"), normalize(scopes).alias("scopes"), F.timestamp_millis(j["event_time_ms"]).alias("event_time"), j["props"].alias("props"))
     return F.when(whole, event)
 
