@@ -1,14 +1,15 @@
-"""Main text of web pages by consensus host paths: each page scores its containers and votes for their generalised tag-class paths, the votes
-are summed by host and path in Spark, and every page is extracted again from the elements at its host's winning path.
+"""Main text of web pages by consensus host paths: each page scores its containers and votes for the best one's generalised tag-class path, the votes
+are counted by host and path in Spark, and every page is extracted again from the elements at its host's winning path.
 
 Defined cases: a null or empty html gives an empty text; a null or odd url belongs to the host ''; a page without the winning path falls back
 to its own best container, one without any container to the whole body; unclosed elements end with their parent or the page; repeated rows
-and null ids are extracted row by row; ties between paths go to the longer, then the first by name; an empty table gives an empty result."""
+and null ids are extracted row by row; ties between paths go to the longer, then the last by name; an empty table gives an empty result."""
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -115,9 +116,8 @@ def parse(page: str) -> tuple[list[tuple[int, list[str], int]], list[tuple[int,
                 end_block()
             step, drop = _opened(tag, m[3])
             at = stack[-1][1]
-            if tag not in INLINE:
-                up = elements[at][1]
-                elements.append((at, up if tag in ("html", "body") else f"{up}/{step}", tag not in LEAF))
+            if tag not in INLINE and tag not in ("html", "body"):  # those are the root, which must not vote once for each
+                elements.append((at, f"{elements[at][1]}/{step}", tag not in LEAF))
                 at = len(elements) - 1
             in_link += tag == "a"
             if not m[3].endswith("/") or tag in INLINE:
@@ -141,15 +141,13 @@ def scores(blocks, elements) -> dict[int, float]:
     return {i: s * (MAIN_BONUS if re.search(r"/(article|main)\b[^/]*$", elements[i][1]) else 1.0) for i, s in enumerate(own) if s > 0 and elements[i][2]}
 
 
-def votes(page: str) -> dict[str, float]:
-    """Paths and the shares of one vote that a page gives them."""
+def vote(page: str) -> str | None:
+    """The path whose containers have the highest score in sum, of equal ones the longest; a page has one vote."""
     by: dict[str, float] = {}
     blocks, elements = parse(page)
     for i, s in scores(blocks, elements).items():
         by[elements[i][1]] = by.get(elements[i][1], 0.0) + s
-    best = sorted(by.items(), key=lambda x: -x[1])
-    total = sum(s for _, s in best)
-    return {p: s / total for p, s in best} if total else {}
+    return max(by, key=lambda p: (by[p], len(p), p), default=None)
 
 
 def extract(page: str, path: str | None) -> str:
@@ -174,17 +172,15 @@ def host(url: str = "url"):
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) for each row of pages."""
 
-    def vote(batches):
+    def cast(batches):
         for b in batches:
-            tally: dict[tuple[str, str], float] = {}
-            for h, page in zip(K.column(b, "host").to_pylist(), K.column(b, "html").to_pylist()):
-                for path, v in votes(page).items():
-                    tally[h, path] = tally.get((h, path), 0.0) + v
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in tally], pa.string()), pa.array([k[1] for k in tally], pa.string()), pa.array(list(tally.values()), pa.float64())], names=["host", "path", "vote"])
-
-    cast = bounded(pages).select("html", host().alias("host")).where("html is not null").mapInArrow(vote, "host string, path string, vote double")
-    won = cast.groupBy("host", "path").agg(F.sum(F.round("vote", 9)).alias("vote")).groupBy("host")
-    won = cut(won.agg(F.max(F.struct(F.round("vote", 6), F.length("path"), "path")).alias("best")).select(F.col("host").alias("_host"), F.col("best.path").alias("_path")))
+            tally = Counter((h, vote(page)) for h, page in zip(K.column(b, "host").to_pylist(), K.column(b, "html").to_pylist()))
+            won = [k for k in tally if k[1] is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in won], pa.string()), pa.array([p for _, p in won], pa.string()), pa.array([tally[k] for k in won], pa.int64())], names=["host", "path", "votes"])
+
+    polled = bounded(pages).select("html", host().alias("host")).where("html is not null").mapInArrow(cast, "host string, path string, votes long")
+    won = polled.groupBy("host", "path").agg(F.sum("votes").alias("votes")).groupBy("host")
+    won = cut(won.agg(F.max(F.struct("votes", F.length("path"), "path")).alias("best")).select(F.col("host").alias("_host"), F.col("best.path").alias("_path")))
     # A row for each host: broadcast when a count allows; else joined by a shuffle in which hot hosts can be split.
     own = pages.select("page_id", "url", "html").withColumn("_key", host()).join(small(won), F.col("_key") == F.col("_host"), "left")
 

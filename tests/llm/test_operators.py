@@ -172,6 +172,20 @@ def test_op1(spark):
     assert host_paths.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_op1_consensus(spark):
+    """The host's path leaves out what no class or tag marks, even on a page where that is longer than the article."""
+    def page(i, extra):
+        return _page(f'<div class="k7">{extra}</div><div class="story s{i}"><h1>Title {i}</h1><p>{"words of the story " * 20}</p></div><div class="k9"><p>{extra}</p></div>')
+
+    rows = [(i, f"https://h.example.com/{i}", page(i, "plain matter")) for i in range(8)] + [(8, "https://h.example.com/8", page(8, "plain matter " * 100))]
+    rows += [(9, "https://h.example.com/9", _page("<section><p>another layout here</p></section>"))]
+    by = {r["page_id"]: r["text"] for r in host_paths.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(9):
+        assert by[i] == f"Title {i}\n" + ("words of the story " * 20).strip()
+    assert by[9] == "another layout here"
+    assert host_paths.vote(page(1, "plain matter")) == "/div.s#.story" and host_paths.vote("") is None
+
+
 def test_op1_on_pages(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in host_paths.main_text(pages).collect()}
