@@ -12,8 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import cut, small
+
 #: Tokens of a window and of its repeated history.
 BUDGET, HISTORY = 1024, 192
+#: Turns of a conversation that a task formats; longer conversations are split.
+BLOCK = 4096
 _CONTROL = r"/?(?:INST|SYS|OUT)\]|/?ROLE(?:=[0-9A-F]*)?\]|/?s>"
 _PARSE = r"(?s)\[(SYS|INST|OUT|ROLE=[0-9A-F]*)\](.*?)(?:\[/SYS\]|\[/INST\]|</s>|\[/ROLE\])"
 _TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
@@ -42,38 +46,69 @@ def _role(mark: Column) -> Column:
     return out
 
 
-def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """A row for each window: conv_id, window (from 0), formatted, spans (begin and length of each target's characters), n_repeated (turns at the
-    front that earlier windows have had), n_tokens and over (beyond the budget, by a single turn)."""
+def _blocks(turns: DataFrame, block: int) -> DataFrame:
+    """turns with a column block: 0 in a conversation of up to `block` turns; a longer one is split by ranges of turn numbers, into blocks of
+    `block` turns on average. Turns with one number share a block."""
+    long_ones = turns.groupBy("conv_id").agg(F.count("*").alias("_n"), F.min("turn").cast("double").alias("_lo"), F.max("turn").cast("double").alias("_hi")).where(F.col("_n") > block)
+    long_ones = small(cut(long_ones.select(F.col("conv_id").alias("_c"), "_lo", F.greatest(F.lit(1.0), (F.col("_hi") - F.col("_lo") + 1) * block / F.col("_n")).alias("_width"))))
+    own = turns.join(long_ones, F.col("conv_id").eqNullSafe(F.col("_c")), "left")
+    return own.withColumn("block", F.coalesce(F.floor((F.col("turn") - F.col("_lo")) / F.col("_width")) + 1, F.lit(0)).cast("long")).drop("_c", "_lo", "_width")
+
+
+def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, block: int = BLOCK) -> DataFrame:
+    """A row for each window: conv_id, window (rising from 0, by one within a block, the next block at the next multiple of 2^32), formatted,
+    spans (begin and length of each target's characters), n_repeated (turns at the front that earlier windows have had), n_tokens and over
+    (beyond the budget, by a single turn). A task holds a block of turns; the blocks of a long conversation hand on its system turn and the
+    turns that the next one repeats."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     own = escape(text)
     first, last = _marks(role)
-    turns = conversations.select("conv_id", "turn", role.alias("role"), own.alias("own"), F.concat(first, own, last).alias("shown"), F.length(first).alias("lead"), (F.regexp_count(own, F.lit(_TOKEN)) + 2).cast("long").alias("tokens"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "own")
+    turns = _blocks(conversations.select("conv_id", "turn", "role", "text"), block)
+    turns = turns.select(
+        F.struct("conv_id").alias("key"), "block", "turn", role.alias("role"), own.alias("own"), F.concat(first, own, last).alias("shown"), F.length(first).alias("lead"),
+        (F.regexp_count(own, F.lit(_TOKEN)) + 2).cast("long").alias("tokens"),
+    )
+    order = Window.partitionBy("key", "block").orderBy("turn", "role", "own")
     turns = turns.withColumns({"sum": F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)), "at": F.row_number().over(order)})
-    conv = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "role", "own", "shown", "lead", "tokens", "sum"))).alias("t"))
-    system = F.when(F.col("t")[0]["role"] == "system", F.col("t")[0]["tokens"]).otherwise(F.lit(0).cast("long"))
-    conv = conv.withColumn("sys", system)
+    conv = turns.groupBy("key", "block").agg(F.array_sort(F.collect_list(F.struct("at", "role", "own", "shown", "lead", "tokens", "sum"))).alias("t"))
+    # A row for each block: its last turns, which the next blocks may repeat, with sums over the whole conversation. A block has two tokens at least.
+    total = F.col("t")[F.size("t") - 1]["sum"]
+    ends = F.filter(F.slice("t", F.greatest(F.size("t") - history + 1, F.lit(1)), history), lambda x: total - x["sum"] + x["tokens"] <= history)
+    along = Window.partitionBy("_key").orderBy("_block")
+    edges = conv.select(F.col("key").alias("_key"), F.col("block").alias("_block"), F.when(F.col("t")[0]["role"] == "system", F.col("t")[0]).alias("_head"), ends.alias("_ends"), total.alias("_total"))
+    edges = edges.withColumns({"head": F.first("_head").over(along), "nth": F.row_number().over(along), "base": F.coalesce(F.sum("_total").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    # The system turn is repeated on its own, not as history.
+    ends = F.filter("_ends", lambda x: (F.col("nth") > 1) | F.col("head").isNull() | (x["at"] > 1))
+    edges = edges.withColumn("_ends", F.transform(ends, lambda x: x.withField("sum", x["sum"] + F.col("base"))))
+    tail = F.flatten(F.collect_list("_ends").over(along.rowsBetween(-max(1, history // 2), -1)))
+    tail = F.filter(tail, lambda x: F.col("base") - x["sum"] + x["tokens"] <= history)
+    edges = edges.withColumn("tail", F.transform(tail, lambda x: x.withField("sum", x["sum"] - F.col("base")))).drop("_head", "_ends", "_total", "base")
+    conv = conv.join(edges, (F.col("key") == F.col("_key")) & (F.col("block") == F.col("_block"))).drop("_key", "_block", "block")
+    conv = conv.withColumn("sys", F.coalesce(F.col("head")["tokens"], F.lit(0).cast("long")))
     room = F.greatest(F.lit(budget - history) - F.col("sys"), F.lit(1))
     # The fold keeps where each window begins and the prefix sum before it.
     begin = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).cast("long").alias("base"))
 
     def step(s: Column, x: Column) -> Column:
-        new = (x["at"] == 1) | (x["sum"] - s["base"] > F.when(F.size(s["starts"]) <= 1, F.lit(budget)).otherwise(room))
+        new = (x["at"] == 1) | (x["sum"] - s["base"] > F.when((F.col("nth") == 1) & (F.size(s["starts"]) <= 1), F.lit(budget)).otherwise(room))
         return F.struct(
             F.when(new, F.concat(s["starts"], F.array(x["at"]))).otherwise(s["starts"]).alias("starts"), F.when(new, x["sum"] - x["tokens"]).otherwise(s["base"]).alias("base")
         )
 
     conv = conv.withColumn("starts", F.aggregate("t", begin, step, lambda s: s["starts"]))
-    rows = conv.select("conv_id", "t", "sys", "starts", F.posexplode("starts").alias("window", "a"))
-    z = F.coalesce(F.get(F.col("starts"), F.col("window") + 1), F.size("t") + 1)
-    lo = F.when(F.col("sys") > 0, 2).otherwise(1)  # the first turn that can be history
-    before = F.get(F.col("t"), F.col("a") - 2)["sum"]
+    rows = conv.select("key", "t", "tail", "head", "nth", "sys", "starts", F.posexplode("starts").alias("i", "a"))
+    z = F.coalesce(F.get(F.col("starts"), F.col("i") + 1), F.size("t") + 1)
+    rows = rows.withColumns({"new": F.slice("t", F.col("a"), z - F.col("a")), "u": F.concat("tail", "t"), "b": F.col("a") + F.size("tail")})
+    lo = F.when((F.col("nth") == 1) & (F.col("sys") > 0), 2).otherwise(1)  # the first turn that can be history
+    before = F.get(F.col("u"), F.col("b") - 2)["sum"]
     # History is the longest run of turns before the span that fits; only the last `history` turns can, as each has a token.
-    near = F.slice("t", F.greatest(lo, F.col("a") - history), F.greatest(F.col("a") - F.greatest(lo, F.col("a") - history), F.lit(0)))
+    near = F.slice("u", F.greatest(lo, F.col("b") - history), F.greatest(F.col("b") - F.greatest(lo, F.col("b") - history), F.lit(0)))
     old = F.filter(near, lambda x: before - x["sum"] + x["tokens"] <= history)
-    head = F.when((F.col("window") > 0) & (F.col("sys") > 0), F.slice("t", 1, 1)).otherwise(F.slice("t", 1, 0))
-    rows = rows.withColumns({"again": F.when(F.col("window") > 0, F.concat(head, old)).otherwise(head), "new": F.slice("t", F.col("a"), z - F.col("a"))}).select("conv_id", "window", F.size("again").alias("n_repeated"), F.concat("again", "new").alias("w"))
+    later = (F.col("i") > 0) | (F.col("nth") > 1)
+    again = F.when(later, F.concat(F.when(F.col("sys") > 0, F.array("head")).otherwise(F.slice("t", 1, 0)), old)).otherwise(F.slice("t", 1, 0))
+    rows = rows.withColumn("again", again).select(
+        F.col("key.conv_id").alias("conv_id"), (F.shiftleft(F.col("nth").cast("long") - 1, 32) + F.col("i")).alias("window"), F.size("again").alias("n_repeated"), F.concat("again", "new").alias("w")
+    )
     spans = F.filter(
         F.transform(
             "w",
@@ -89,7 +124,7 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
 
 
 def read_back(windows: DataFrame) -> DataFrame:
-    """Digests of each conversation, from the formatted windows and their masks alone."""
+    """Digests of each conversation, from the formatted windows and their masks alone. A digest of a whole conversation needs its text in one value."""
     turns = F.slice(F.arrays_zip(F.regexp_extract_all("formatted", F.lit(_PARSE), 1).alias("role"), F.regexp_extract_all("formatted", F.lit(_PARSE), 2).alias("text")), F.col("n_repeated") + 1, 1 << 30)
     said = F.array_join(F.transform(F.col("turns"), lambda x: F.concat(_role(x["role"]), F.lit("\n"), unescape(x["text"]), F.lit("\n"))), "")
     loss = F.array_join(F.transform("spans", lambda s: unescape(F.substr(F.col("formatted"), s["begin"], s["length"]))), "")

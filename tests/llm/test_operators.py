@@ -294,6 +294,47 @@ def test_op3(spark):
     assert chat_windows.read_back(chat_windows.format_windows(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("block", [4096, 7, 1])
+def test_op3_windows_of_split_conversations(spark, block):
+    """Spans, repeated turns and budgets against a plain reading, for a conversation in one block and in many."""
+    rnd = random.Random(8)
+    rows = []
+    for c, n in ((1, 60), (2, 45), (None, 30), (3, 1), (4, 7)):
+        at = 0
+        for i in range(n):
+            at += rnd.choice([1, 1, 1, 9])
+            system = i == 0 and c in (1, 3, None)
+            rows.append((c, None if i == 0 and c == 2 else at, "system" if system else ("user", "assistant")[i % 2], " ".join(f"c{i}x{k}" for k in range(rnd.choice([3, 10, 18, 70])))))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    budget, history = 120, 30
+    win = chat_windows.format_windows(df, budget, history, block=block)
+    got = collections.defaultdict(list)
+    for r in win.orderBy("window").collect():
+        got[r["conv_id"]].append(r)
+    tokens = lambda x: len(x.split()) + 2
+    for c in {r[0] for r in rows}:
+        turns = [r[3] for r in rows if r[0] == c]
+        system = c in (1, 3, None)
+        done = 0
+        assert block == 1 or len(got[c]) < len(turns) or len(turns) == 1
+        for k, w in enumerate(got[c]):
+            shown = [x.strip() for x in re.split(r"<s>|\[/?(?:SYS|INST|OUT)\]|</s>", w["formatted"]) if x.strip()]
+            again, new = shown[: w["n_repeated"]], shown[w["n_repeated"] :]
+            assert new and new == turns[done : done + len(new)]
+            want = []
+            for x in reversed(turns[1 if system else 0 : done]):
+                if sum(map(tokens, [*want, x])) > history:
+                    break
+                want.insert(0, x)
+            assert again == (turns[:1] if system and k else []) + want
+            total = sum(map(tokens, shown))
+            assert w["n_tokens"] == total and w["over"] == (total > budget) and (total <= budget or len(new) == 1)
+            done += len(new)
+        assert done == len(turns)
+    digest = lambda w: sorted(map(repr, chat_windows.read_back(w).drop("formatted_chars").collect()))
+    assert digest(win) == digest(chat_windows.format_windows(df, budget, history))
+
+
 @pytest.mark.parametrize("shard", [8192, 70])
 def test_op4(spark, shard):
     rnd = np.random.default_rng(2)
