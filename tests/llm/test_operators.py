@@ -257,6 +257,16 @@ def test_op2_odd_rows(spark, docs, none):
     assert probminhash.classes(none).count() == 0 and probminhash.keep_one(none).count() == 0
 
 
+def test_op2_bands_shared_by_chance():
+    """A pair whose registers agree by a byte in a band that they don't share is still compared in the first band that they do."""
+    sets = [(np.arange(10, dtype=np.uint64), np.ones(10))] * 2
+    marks = np.arange(2 * probminhash.BANDS, dtype=np.uint32).reshape(2, -1)
+    marks[1, 3] = marks[0, 3]
+    two = np.array([1, 2])
+    linked = lambda band: probminhash._linked(two, two, np.array([10, 10]), np.zeros(2), np.zeros((2, probminhash.REGISTERS), np.uint8), marks, np.zeros(2, int), (band, -1), 0, 0, sets, 0.8)
+    assert linked(3) == [(1, 2)] and linked(0) == linked(5) == []
+
+
 def test_op2_probability_jaccard():
     def plain(a, b):
         a, b = ({k: 1 + np.log(n) for k, n in _shingles(t).items()} for t in (a, b))
