@@ -109,6 +109,23 @@ def members_capped(spark, sf_dir):
     return m.select("scope_id", "node", "root", _joined(F.col("members")).alias("members"), "truncated")
 
 
+@_query(_cc() + " SELECT scope_id, root, node AS member FROM a")
+def members_all(spark, sf_dir):
+    """Every member of every component of every scope. A row for each member, so that a component's size is no bound."""
+    _, state, roots = _roots(spark, sf_dir)
+    asked = roots.select("scope_id", F.col("root").alias("node")).distinct()
+    return topology.member_rows(state, asked).select("scope_id", "root", "member")
+
+
+@_query(_cc() + " SELECT scope_id, root, array_to_string(list_sort(list(node))[1:3], ',') AS members, count(*) > 3 AS truncated FROM a GROUP BY ALL")
+def members_all_capped(spark, sf_dir):
+    """The lowest three members of every component of every scope."""
+    _, state, roots = _roots(spark, sf_dir)
+    asked = roots.select("scope_id", F.col("root").alias("node")).distinct()
+    m = topology.members(state, asked, 3)
+    return m.select("scope_id", "root", _joined(F.col("members")).alias("members"), "truncated")
+
+
 @_query(_cc() + " SELECT scope_id, root, count(*) AS n FROM a GROUP BY ALL")
 def component_sizes(spark, sf_dir):
     return _roots(spark, sf_dir)[2].groupBy("scope_id", "root").agg(F.count("*").alias("n"))
