@@ -87,6 +87,14 @@ def connected_pairs(spark, sf_dir):
     return topology.connected(topology.build(e), asked).select("scope_id", "u", "v", "connected")
 
 
+@_query(_cc() + " SELECT x.scope_id, x.node AS u, y.node AS v, x.root = y.root AS connected FROM a x JOIN a y ON x.scope_id = y.scope_id AND y.node = x.node + 7")
+def connected_pairs_all(spark, sf_dir):
+    e = f1_edges(spark, sf_dir)
+    n = topology.nodes(e)
+    asked = _all_nodes(e).withColumnRenamed("node", "u").withColumn("v", F.col("u") + 7).join(n.withColumnRenamed("node", "v"), "v", "left_semi")
+    return topology.connected(topology.build(e), asked).select("scope_id", "u", "v", "connected")
+
+
 _MEMBERS = """, q AS (SELECT * FROM a WHERE node % 211 = 4 AND scope_id IN (0, 3)),
  m AS (SELECT q.scope_id, q.node, q.root, list_sort(list(a.node)) AS l FROM q JOIN a ON a.scope_id = q.scope_id AND a.root = q.root GROUP BY ALL)"""
 

@@ -22,3 +22,10 @@ def test_members_beyond_the_cap(spark):
     asked = spark.range(1).select(F.lit(3).cast("long").alias("scope_id"), F.lit(0).cast("long").alias("node"))
     rows = topology.member_rows(topology.build(chain), asked)
     assert rows.count() == rows.select("member").distinct().count() == n
+
+
+def test_connected_pairs_of_every_node(spark):
+    root = {(r["scope_id"], r["node"]): r["root"] for r in QUERIES["scope_root_all"](spark, AT).collect()}
+    got = {(r["scope_id"], r["u"], r["v"]): r["connected"] for r in QUERIES["connected_pairs_all"](spark, AT).collect()}
+    assert got == {(s, n, n + 7): root[s, n] == root[s, n + 7] for s, n in root if (s, n + 7) in root}
+    assert {u % 5 for _, u, _ in got} == set(range(5))
