@@ -275,6 +275,13 @@ def edge_table_scan(spark, sf_dir):
     return t.where("scope_id = 3 AND src < 2000").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
+@_query(f"SELECT src, dst, count(*) AS n FROM ({F1}) WHERE scope_id = 3 GROUP BY ALL")
+def edge_table_scope(spark, sf_dir):
+    """A read of the edge table by scope alone."""
+    t = cut(f1_edges(spark, sf_dir).repartition("scope_id").sortWithinPartitions("scope_id", "src"))
+    return t.where("scope_id = 3").groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
 @_query(f'SELECT partition, max("offset") AS "offset" FROM ({F2}) GROUP BY ALL')
 def position_per_partition(spark, sf_dir):
     return positions.advance(f2_records(spark, sf_dir))
@@ -349,6 +356,14 @@ def retention_live_set(spark, sf_dir):
     return o.join(live, "object", "left_anti")
 
 
+@_query("SELECT o_orderkey AS object FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 2)")
+def retention_live_set_all(spark, sf_dir):
+    """All objects that are old enough and that nothing names."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderdate < TIMESTAMP '1997-01-01'").select(F.col("o_orderkey").alias("object"))
+    live = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber = 2").select(F.col("l_orderkey").alias("object"))
+    return o.join(live, "object", "left_anti")
+
+
 @_query(_cc() + """ SELECT (SELECT count(*) FROM e) AS links, (SELECT count(*) FROM e WHERE scope_id = 0) AS global_links, (SELECT count(*) FROM e WHERE scope_id <> 0) AS scope_links,
  (SELECT count(DISTINCT scope_id) FROM e WHERE scope_id <> 0) AS active_scopes, (SELECT count(*) FROM a WHERE scope_id = 0 AND node <> root) AS shared_pairs""")
 def stats(spark, sf_dir):

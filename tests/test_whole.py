@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from meshwright.operators import topology
 from meshwright.queries import QUERIES
 
-AT = "/root/testdata/sf0.001"
+AT, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 def test_members_of_every_component(spark):
@@ -29,3 +29,13 @@ def test_connected_pairs_of_every_node(spark):
     got = {(r["scope_id"], r["u"], r["v"]): r["connected"] for r in QUERIES["connected_pairs_all"](spark, AT).collect()}
     assert got == {(s, n, n + 7): root[s, n] == root[s, n + 7] for s, n in root if (s, n + 7) in root}
     assert {u % 5 for _, u, _ in got} == set(range(5))
+
+
+def test_whole_listings(spark):
+    li = spark.read.parquet(f"{LARGER}/lineitem.parquet")
+    scoped = li.where("l_linenumber <> 1 AND year(l_shipdate) = 1997")
+    got = QUERIES["edge_table_scope"](spark, LARGER).collect()
+    assert sum(r["n"] for r in got) == scoped.count() and max(r["src"] for r in got) == scoped.agg(F.max("l_orderkey")).first()[0] > 2000
+    named = {r[0] for r in li.where("l_linenumber = 2").select("l_orderkey").collect()}
+    old = {r[0] for r in spark.read.parquet(f"{LARGER}/orders.parquet").where("o_orderdate < '1997-01-01'").select("o_orderkey").collect()}
+    assert {r["object"] for r in QUERIES["retention_live_set_all"](spark, LARGER).collect()} == old - named
