@@ -12,7 +12,7 @@ from .shared import bounded
 
 COUNTS = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",  # the contract's
-    "n_lines", "n_letters", "n_upper", "n_digits", "n_bars", "n_bangs", "n_distinct", "n_ends", "n_odd_ends", "n_bare", "n_same_next", "max_word",
+    "n_lines", "n_letters", "n_upper", "n_digits", "n_bars", "n_bangs", "n_distinct", "n_ends", "n_odd_ends", "n_bare", "n_same_next", "max_word", "n_varied", "n_variable",
 ]
 
 
@@ -30,6 +30,10 @@ _ALNUM = _UPPER | _LOWER | _DIGIT | (np.arange(256) >= 0x80)
 _END = _bytes(".,;:?")
 
 
+#: Words of a window whose variety is counted.
+VARIETY_WORDS = 500
+
+
 def _distinct(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     key = np.sort((doc.astype(K.U) << K.U(54)) | (h >> K.U(10)))
     if not len(key):
@@ -38,6 +42,19 @@ def _distinct(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     return np.bincount((key[new] >> K.U(54)).astype(np.int64), minlength=n)
 
 
+def variety(w: K.Words, h: np.ndarray, k: int = VARIETY_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """For each text, (different words, words), both summed over its consecutive k-word windows. The last window of a longer text is its last k
+    words, so that all windows are of one size; a text of up to k words is one window."""
+    n = w.counts()
+    size, many = np.minimum(n, k), -(-n // k)
+    at = np.arange(len(h)) - (np.cumsum(n) - n)[w.doc]
+    last = many[w.doc] - 1
+    # Words of the last window that the one before holds too.
+    again = np.flatnonzero((last > 0) & (at >= n[w.doc] - k) & (at < last * k))
+    doc, window = np.concatenate([w.doc, w.doc[again]]), np.concatenate([at // k, last[again]])
+    return _distinct(doc, K.mix(np.concatenate([h, h[again]]) ^ K.mix(window.astype(K.U))), w.n), size * many
+
+
 def repeat_words(w: K.Words, h: np.ndarray, k: int = 8) -> np.ndarray:
     """For each text, the words inside k-word windows that it holds twice or more."""
     at, s = K.windows(w, h, k)
@@ -85,6 +102,7 @@ def stats(a: pa.Array) -> dict[str, np.ndarray]:
     plain = _ALNUM[last]
     letters = np.concatenate([[0], np.cumsum(_ALNUM[d], dtype=np.int64)])
     alnum = letters[w.end] - letters[w.start]
+    varied, variable = variety(w, h)
     longest = np.zeros(w.n, np.int64)
     np.maximum.at(longest, w.doc, size)
     same = np.zeros(len(h), np.int64)
@@ -94,7 +112,7 @@ def stats(a: pa.Array) -> dict[str, np.ndarray]:
         "n_words": w.counts(), "word_chars": w.total(((d & 0xC0) != 0x80) & ~K.SPACE[d]), "n_symbols": w.total(SYMBOLS[d]), "n_dup_lines": dup, "n_repeat_words": repeat_words(w, h),
         "n_lines": n_lines, "n_letters": w.total(_UPPER[d] | _LOWER[d] | _HIGH[d]), "n_upper": w.total(_UPPER[d]), "n_digits": w.total(_DIGIT[d]), "n_bars": w.total(_BAR[d]), "n_bangs": w.total(_BANG[d]),
         "n_distinct": _distinct(w.doc, h, w.n), "n_ends": w.word_total(_END[last].astype(np.int64)), "n_odd_ends": w.word_total((~plain & ~_END[last]).astype(np.int64)), "n_bare": w.word_total((alnum == 0).astype(np.int64)),
-        "n_same_next": w.word_total(same), "max_word": longest,
+        "n_same_next": w.word_total(same), "max_word": longest, "n_varied": varied, "n_variable": variable,
     }
 
 

@@ -38,7 +38,7 @@ def rules() -> list[tuple[str, Column, Column]]:
         ("bare_words", _share("n_bare", "n_words") > 0.2, never),
         ("bars", _share("n_bars", "n_words") > 0.1, never),
         ("same_next", _share("n_same_next", "n_words") > 0.2, never),
-        ("variety", long_enough & (_share("n_distinct", "n_words") < 0.15) & (F.col("n_words") < 2000), _share("n_distinct", "n_words") > 0.35),
+        ("variety", long_enough & (_share("n_varied", "n_variable") < 0.15), _share("n_varied", "n_variable") > 0.35),
         ("same_lines", _share("n_dup_lines", "n_lines") > 0.3, never),
         ("stops", long_enough & (F.col("n_ends") == 0), _share("n_ends", "n_words").between(0.02, 0.5)),
     ]
