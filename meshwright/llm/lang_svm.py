@@ -132,14 +132,24 @@ class Hierarchy:
         return out, score
 
 
+def shares(rows: dict[str, int], total: int) -> dict[str, int]:
+    """How many of its rows each language gives, total in all at most: the least first, each up to an even part of what is left."""
+    out: dict[str, int] = {}
+    for k, (v, n) in enumerate(sorted(rows.items(), key=lambda x: (x[1], x[0]))):
+        out[v] = min(n, (total - sum(out.values())) // (len(rows) - k))
+    return out
+
+
 def learn(docs: DataFrame, per_lang: int = PER_LANG, train_rows: int = TRAIN_ROWS) -> Hierarchy:
     """The machines, fitted to a bounded sample of the rows outside the held-out fold: up to about per_lang rows of each language, by the hash
-    of their id, and train_rows in all."""
+    of their id, and train_rows in all, which the languages share out evenly, those with few rows first."""
     known = bounded(docs).select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     per = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    quota = shares({v: min(n, per_lang) for v, n in per.items()}, train_rows)
     share = F.lit(0)
     for v, n in per.items():
-        share = F.when(F.col("lang") == v, min(1_000_000, int(1e6 * per_lang / n) + 1)).otherwise(share)
+        share = F.when(F.col("lang") == v, min(1_000_000, int(1e6 * quota[v] / n) + 1)).otherwise(share)
+    whole = F.col("lang").isin([v for v, n in per.items() if quota[v] >= n])
 
     def featured(batches):
         for b in batches:
@@ -150,7 +160,7 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG, train_rows: int = TRAIN_ROW
 
     # The sample is chosen before any features are made: rows by the hash of their id, at each language's rate.
     pick = known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(9)), F.lit(1_000_000)) < share)
-    sample = pick.mapInArrow(featured, "lang string, x binary, letter boolean").where("letter").orderBy(F.xxhash64("x"), "x", "lang").limit(train_rows)
+    sample = pick.mapInArrow(featured, "lang string, x binary, letter boolean").where("letter").orderBy(~whole, F.xxhash64("x"), "x", "lang").limit(train_rows)  # languages taken whole come first
 
     def fitted(batches):
         held = [b for b in batches if b.num_rows]

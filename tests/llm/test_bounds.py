@@ -4,7 +4,7 @@ import random
 
 import pyarrow as pa
 
-from meshwright.llm import kernel, weak_rules
+from meshwright.llm import kernel, lang_svm, weak_rules
 from meshwright.llm.textstats import stats
 
 
@@ -21,3 +21,17 @@ def test_variety_of_any_length(spark):
     rows = weak_rules.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     vote = {r["doc_id"]: r["vote_variety"] for r in rows}
     assert [vote[i] for i in range(7)] == [0] * 6 + [2]
+
+
+def test_small_languages_teach(spark):
+    assert lang_svm.shares({"a": 900, "b": 36, "c": 500}, 1000) == {"b": 36, "c": 482, "a": 482}
+    assert lang_svm.shares({"a": 900, "b": 36}, 2000) == {"b": 36, "a": 900}
+    rnd = random.Random(5)
+    speak = lambda v: " ".join("".join(rnd.choice(v) for _ in range(6)) for _ in range(12))
+    rows = [(k, speak(v), lang) for lang, v, n in (("de", "abcdefg", 1500), ("fr", "hijklmn", 1500), ("tr", "opqrstu", 1500), ("fi", "vwxyzab", 30)) for k in range(n)]
+    rows = [(i, t, lang) for i, (_, t, lang) in enumerate(rows)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_svm.learn(d, 1500, 80)
+    assert "fi" in model.langs
+    x, _ = lang_svm.grams(pa.array([speak("vwxyzab") for _ in range(50)]))
+    assert (model.predict(x)[0] == "fi").mean() > 0.9
