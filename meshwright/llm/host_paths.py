@@ -142,12 +142,30 @@ def scores(blocks, elements) -> dict[int, float]:
 
 
 def vote(page: str) -> str | None:
-    """The path whose containers have the highest score in sum, of equal ones the longest; a page has one vote."""
+    """The path whose containers have the highest score in sum, of equal ones the longest; where it has several containers, the path of the lowest
+    element around all of them, unless that is the root. A page has one vote."""
     by: dict[str, float] = {}
+    at: dict[str, list[int]] = {}
     blocks, elements = parse(page)
     for i, s in scores(blocks, elements).items():
-        by[elements[i][1]] = by.get(elements[i][1], 0.0) + s
-    return max(by, key=lambda p: (by[p], len(p), p), default=None)
+        path = elements[i][1]
+        by[path] = by.get(path, 0.0) + s
+        at.setdefault(path, []).append(i)
+    best = max(by, key=lambda p: (by[p], len(p), p), default=None)
+    if best is None:
+        return None
+    around = _around(elements, at[best])
+    return elements[around][1] if around else best
+
+
+def _around(elements, inner: list[int]) -> int:
+    """The lowest element that is or holds each of inner."""
+    up = set(inner)
+    while len(up) > 1:
+        low = max(up)  # an element's number is above its parent's
+        up.remove(low)
+        up.add(elements[low][0])
+    return up.pop()
 
 
 def extract(page: str, path: str | None) -> str:

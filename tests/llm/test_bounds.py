@@ -4,7 +4,7 @@ import random
 
 import pyarrow as pa
 
-from meshwright.llm import kernel, lang_svm, weak_rules
+from meshwright.llm import host_paths, kernel, lang_svm, weak_rules
 from meshwright.llm.textstats import stats
 
 
@@ -35,3 +35,15 @@ def test_small_languages_teach(spark):
     assert "fi" in model.langs
     x, _ = lang_svm.grams(pa.array([speak("vwxyzab") for _ in range(50)]))
     assert (model.predict(x)[0] == "fi").mean() > 0.9
+
+
+def test_votes_for_what_holds_the_sections():
+    head = "<h1>The title</h1><p>lead</p>"
+    part = "<div class='section'><p>" + "words of a section " * 30 + "</p></div>"
+    page = f"<body><div class='top'>plain</div><div class='content'>{head}{part}<p>between</p>{part}{part}</div></body>"
+    path = host_paths.vote(page)
+    assert path == "/div.content"
+    assert host_paths.extract(page, path).split("\n")[:2] == ["The title", "lead"] and "between" in host_paths.extract(page, path)
+    table = "<table><tbody><tr><td>" + "cells of a table " * 30 + "</td></tr></tbody></table>"
+    assert host_paths.vote(f"<div class='content'>{head}{table}{table}</div>") == "/div.content"
+    assert host_paths.vote(f"<div class='section'><p>{'one ' * 50}</p></div>") == "/div.section"
