@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 
-from meshwright.llm import host_paths, kernel, lang_svm, weak_rules
+from meshwright.llm import host_paths, kernel, lang_svm, probminhash, weak_rules
 from meshwright.llm.textstats import stats
 
 
@@ -47,3 +48,13 @@ def test_votes_for_what_holds_the_sections():
     table = "<table><tbody><tr><td>" + "cells of a table " * 30 + "</td></tr></tbody></table>"
     assert host_paths.vote(f"<div class='content'>{head}{table}{table}</div>") == "/div.content"
     assert host_paths.vote(f"<div class='section'><p>{'one ' * 50}</p></div>") == "/div.section"
+
+
+def test_heavy_shingles_of_texts_of_other_sizes():
+    few, many = np.arange(1, 11, dtype=np.uint64), np.arange(1, 26, dtype=np.uint64)
+    sets = [(few, np.full(10, 10.0)), (many, np.where(many <= 10, 10.0, 1.0))]
+    assert probminhash.similarity(*sets) > 0.8
+    ids, marks = np.arange(2), np.ones((2, probminhash.BANDS), np.uint32)
+    same = np.zeros((2, probminhash.REGISTERS), np.uint8)
+    got = probminhash._linked(ids, ids, np.array([10, 25]), np.zeros(2), same, marks, np.zeros(2, int), (0, -1), 0, 0, sets, 0.8)
+    assert got == [(0, 1)]
