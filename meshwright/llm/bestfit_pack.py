@@ -7,6 +7,7 @@ longer than a sequence are cut, and a very long one gives as many pieces as it n
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ from .shared import bounded, chunks, cut
 
 CAPACITY = 2048
 #: Pieces of one packing group, rounds of exchange, and words and parts of words that a worker's cache holds.
-GROUP, ROUNDS, CACHE, PARTS = 8192, 3, 1_000_000, 150_000
+GROUP, ROUNDS, CACHE, PARTS = 8192, 3, 700_000, 150_000
 
 
 def _byte_chars() -> list[str]:
@@ -33,8 +34,23 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
 
 
+#: The steps of a tokenizer file whose pieces never cross white space, which `Coder` may therefore encode word by word.
+_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+_PROBES = "It's 2024, we'll see: WORDS don't end-here (x1) caf\u00e9 \u00c0\u00c9\u00dc --- $9.50 ''s a_b".split()
+
+
 class Coder:
-    """Ids of whole texts by a tokenizer whose pieces never cross white space: the tokenizer encodes each different word once."""
+    """Ids of whole texts. A tokenizer of the steps above encodes each different word once; any other one encodes the texts as they are."""
 
     _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
     _PLAIN = regex.compile(r"[\x21-\x7e¡-įĲ-ňŊ-ɏ]+")
@@ -45,10 +61,14 @@ class Coder:
         self.tok = Tokenizer.from_file(path)
         self.chars = _byte_chars()
         self.clear()
+        spec = json.loads(self.tok.to_str())
+        self.by_word = all(spec.get(k) == v for k, v in _STEPS.items()) and spec["model"]["type"] == "BPE"
+        self.by_word = self.by_word and all(self._word(w) == self.tok.encode(w, add_special_tokens=False).ids for w in _PROBES)
 
     def clear(self):
-        """The cache: hashes of words, in order, and where their ids are in a pool. Arrays, as a worker outlives its tasks."""
-        self.known, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        """The cache: the words' bytes and where their ids are in a pool."""
+        self.known: dict[bytes, int] = {}
+        self.at, self.size = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32), 0
         self.parts: dict[str, bytes] = {}
 
@@ -65,41 +85,45 @@ class Coder:
             out += memoryview(ids).cast("I")
         return out
 
-    def _add(self, hashes: np.ndarray, words: Iterator[str]):
-        at, size, ids = [], [], []
-        used = self.used
-        for w in words:
-            own = self._word(w)
-            at.append(used)
-            size.append(len(own))
-            used += len(own)
+    def _add(self, words: list[bytes]):
+        ids: list[int] = []
+        first, need = len(self.known), len(self.known) + len(words)
+        if need > len(self.at):
+            self.at, self.size = (np.concatenate([x, np.zeros(need, x.dtype)]) for x in (self.at, self.size))
+        for k, w in enumerate(words, first):
+            own = self._word(w.decode())
+            self.known[w], self.at[k], self.size[k] = k, self.used + len(ids), len(own)
             ids += own
-        if used > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(used, len(self.pool)) - len(self.pool) // 2, self.pool.dtype)])
-        self.pool[self.used : used] = ids
-        self.used = used
-        place = np.searchsorted(self.known, hashes)
-        self.known, self.at, self.size = np.insert(self.known, place, hashes), np.insert(self.at, place, at), np.insert(self.size, place, size)
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(self.used + len(ids) - len(self.pool), len(self.pool) // 2), self.pool.dtype)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
 
     def encode(self, a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with a 0 after it; texts' bounds in them)."""
+        texts = range(len(a)) if not self.by_word else np.flatnonzero([b"<|" in t for t in a.cast(pa.binary()).to_pylist()]) if b"<|" in K.raw(a)[0].tobytes() else ()
+        whole = {int(k): np.array([*self.tok.encode(a[int(k)].as_py(), add_special_tokens=False).ids, 0], np.uint32) for k in texts}
+        if not self.by_word:
+            bound = np.concatenate([[0], np.cumsum([len(v) for v in whole.values()], dtype=np.int64)])
+            return np.concatenate([np.zeros(0, np.uint32), *whole.values()]), bound
         w = K.words(a)
-        h, first, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        if len(self.known) + len(h) > CACHE:
+        number, different = w.ids()[0], w.different()
+        new = [v for v in different if v not in self.known]
+        if new and len(self.known) + len(new) > CACHE:
             self.clear()
-        place = np.searchsorted(self.known, h)
-        new = np.flatnonzero(self.known[np.minimum(place, len(self.known) - 1)] != h) if len(self.known) else np.arange(len(h))
-        if len(new):
-            data = w.data.tobytes()
-            self._add(h[new], (data[w.start[i] : w.end[i]].decode() for i in first[new].tolist()))
-            place = np.searchsorted(self.known, h)
-        slots = place[inverse]
-        size = self.size[slots].astype(np.int64)
+            new = different
+        self._add(new)
+        slots = np.array([self.known[v] for v in different], np.int64)[number] if different else np.zeros(0, np.int64)
+        size = self.size[slots]
         begin = np.concatenate([[0], np.cumsum(size)])
         ids = np.zeros(begin[-1] + w.n, np.uint32)
         place = np.arange(begin[-1]) + np.repeat(w.doc, size)
         ids[place] = self.pool[np.repeat(self.at[slots] - begin[:-1], size) + np.arange(begin[-1])]
-        return ids, begin[w.first] + np.arange(w.n + 1)
+        bound = begin[w.first] + np.arange(w.n + 1)
+        if whole:  # texts in which a special token's string may be, which the tokenizer takes out before it looks at words
+            parts = [whole.get(k, ids[bound[k] : bound[k + 1]]) for k in range(w.n)]
+            return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
+        return ids, bound
 
 
 _coders: dict[str, Coder] = {}
@@ -125,13 +149,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
             doc_ids = K.column(b, "doc_id").cast(pa.int64())
             for i, a in K.pieces(K.column(b, "text"), max_rows=4000):
                 ids, off = coder.encode(a)
-                odd = [k for k, t in enumerate(a) if "<|" in t.as_py()] if b"<|" in a.buffers()[2].to_pybytes() else []
-                raw, off_l = ids.tobytes(), off.tolist()
-                whole = {k: np.array([*coder.tok.encode(a[k].as_py(), add_special_tokens=False).ids, 0], "<u4").tobytes() for k in odd}
+                raw, off_l = ids.astype("<u4").tobytes(), off.tolist()
                 rows: tuple[list, ...] = ([], [], [], [], [])
                 for k in range(len(a)):
-                    text = whole.get(k) if odd else None
-                    text = raw[4 * off_l[k] : 4 * off_l[k + 1]] if text is None else text
+                    text = raw[4 * off_l[k] : 4 * off_l[k + 1]]
                     for p, s in enumerate(range(0, len(text), 4 * capacity)):
                         cut_ = text[s : s + 4 * capacity]
                         for r, v in zip(rows, (i + k, p, s // 4, len(cut_) // 4, zlib.crc32(cut_))):

@@ -8,16 +8,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True  # the white space of `[^\x20\x09-\x0D]+`
 _ODD = U(0x9E3779B97F4A7C15)
-_BASE = 0xD1342543DE82EF95
-#: Bytes of a run of texts, and so the powers that a worker keeps; a longer text makes its own.
+_BASE = U(0xD1342543DE82EF95)
+#: Bytes of a run of texts.
 PIECE = 1 << 21
-KEPT = PIECE + 1
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,23 +27,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_TAB = mix(np.arange(256, dtype=U))
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, so that a word's hash doesn't depend on its place."""
-    if len(_powers[0]) >= n:
-        return _powers[0][:n], _powers[1][:n]
-    new = []
-    for b in (_BASE, pow(_BASE, -1, 1 << 64)):
-        p = np.full(max(n, 1 << 18), b, U)
-        p[0] = 1
-        new.append(np.cumprod(p))
-    if n <= KEPT:
-        _powers[:] = new
-    return new[0][:n], new[1][:n]
-
-
 def text_array(column) -> pa.Array:
     """A string array without nulls (null: empty) in one chunk."""
     if isinstance(column, pa.ChunkedArray):
@@ -74,25 +56,49 @@ class Words:
     end: np.ndarray
     doc: np.ndarray  # each word's text
     first: np.ndarray  # each text's first word, and the count at last
+    _ids: tuple[np.ndarray, pa.Array] | None = None
+    _hashes: np.ndarray | None = None
 
     @property
     def n(self) -> int:
         return len(self.off) - 1
 
+    def ids(self) -> tuple[np.ndarray, pa.Array]:
+        """(a number for each word, the different words' bytes): words have the same number only if their bytes are the same."""
+        if self._ids is None:
+            size = self.end - self.start
+            off = np.zeros(len(size) + 1, np.int32)
+            np.cumsum(size, out=off[1:])
+            inside = self.data[~SPACE[self.data]]
+            found = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(off), pa.py_buffer(inside)]).dictionary_encode()
+            self._ids = found.indices.to_numpy().astype(np.int64), found.dictionary
+        return self._ids
+
+    def different(self) -> list[bytes]:
+        """The different words, in the order of their numbers."""
+        a = self.ids()[1]
+        if not len(a):
+            return []
+        data, off = a.buffers()[2].to_pybytes(), np.frombuffer(a.buffers()[1], np.int32)[: len(a) + 1].tolist()
+        return [data[i:j] for i, j in zip(off, off[1:])]
+
     def hashes(self) -> np.ndarray:
-        up, down = _power(len(self.data) + 1)
-        c = np.empty(len(self.data) + 1, U)
-        c[0] = 0
-        np.cumsum(_TAB[self.data] * up[:-1], out=c[1:])
-        return mix((c[self.end] - c[self.start]) * down[self.start] + (self.end - self.start).astype(U))
+        """64 bits of each word, the same in every task. Different words may share them: what must be exact goes by ids."""
+        if self._hashes is None:
+            own = np.array([xxhash.xxh3_64_intdigest(v) for v in self.different()], U)
+            self._hashes = own[self.ids()[0]] if len(own) else own
+        return self._hashes
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
     def total(self, per_byte: np.ndarray) -> np.ndarray:
-        """Sum over each text's bytes."""
-        c = np.concatenate([[0], np.cumsum(per_byte, dtype=np.int64)])
-        return c[self.off[1:]] - c[self.off[:-1]]
+        """Sum over each text's bytes, whose numbers are small."""
+        out = np.zeros(self.n, np.int64)
+        some = np.flatnonzero(np.diff(self.off))
+        if len(some):
+            out[some] = np.add.reduceat(per_byte, self.off[some], dtype=np.int64)
+        return out
 
     def word_total(self, per_word: np.ndarray) -> np.ndarray:
         c = np.concatenate([[0], np.cumsum(per_word, dtype=np.float64 if per_word.dtype.kind == "f" else np.int64)])
@@ -125,15 +131,42 @@ def words(a: pa.Array) -> Words:
     return Words(data, off, start, end, np.searchsorted(off, start, "right") - 1, np.searchsorted(start, off))
 
 
+def inside(w: Words, k: int) -> np.ndarray:
+    """The first words of all k-word windows inside a text."""
+    n = len(w.doc) - k + 1
+    return np.flatnonzero(np.arange(n) + k <= w.first[w.doc[:n] + 1]) if n > 0 else np.zeros(0, np.int64)
+
+
+def numbered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number below len(a) for each pair of numbers below 2**31: equal ones for equal pairs only."""
+    return pa.array((a << 32) | b).dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def repeated(w: Words, k: int) -> np.ndarray:
+    """The first words of the k-word windows that their text holds twice or more. A sum of the words' numbers finds windows that may be equal;
+    those are then told apart by all their words."""
+    at = inside(w, k)
+    if not len(at):
+        return at
+    own = w.ids()[0]
+    s = mix(w.doc[at].astype(U))
+    for j in range(k):
+        s = s + mix(np.full(1, j, U)) * own[at + j].astype(U)
+    key = pa.array(s).dictionary_encode().indices.to_numpy()
+    at = at[np.bincount(key)[key] > 1]
+    number = w.doc[at]
+    for j in range(k):
+        number = numbered(number, own[at + j])
+    return at[np.bincount(number)[number] > 1] if len(at) else at
+
+
 def windows(w: Words, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(first word, hash) of every k-word window inside a text."""
-    if len(h) < k:
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    at = np.flatnonzero(np.arange(len(h) - k + 1) + k <= w.first[w.doc[: len(h) - k + 1] + 1])
+    at = inside(w, k)
     s = np.zeros(len(at), U)
     for j in range(k):
-        s = s * U(_BASE) + h[at + j]
-    return at, mix(s)
+        s = mix(s + h[at + j])
+    return at, s
 
 
 def shingles(w: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,8 +180,8 @@ def shingles(w: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         own = np.zeros(len(few), U)
         for j in range(k - 1):
             has = n[few] > j
-            own[has] = own[has] * U(_BASE) + h[w.first[few[has]] + j]
-        doc, s = np.concatenate([doc, few]), np.concatenate([s, mix(own + n[few].astype(U))])
+            own[has] = mix(own[has] + h[w.first[few[has]] + j])
+        doc, s = np.concatenate([doc, few]), np.concatenate([s, mix(own ^ (_BASE * n[few].astype(U)))])
     key = np.sort((doc.astype(U) << U(54)) | (s >> U(10)))
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     times = np.diff(np.concatenate([new, [len(key)]]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -34,84 +35,70 @@ _END = _bytes(".,;:?")
 VARIETY_WORDS = 500
 
 
-def _distinct(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-    key = np.sort((doc.astype(K.U) << K.U(54)) | (h >> K.U(10)))
+def _distinct(of: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Different ids with each number below n in `of`."""
+    key = np.sort((of << 32) | ids)
     if not len(key):
         return np.zeros(n, np.int64)
     new = np.concatenate([[True], key[1:] != key[:-1]])
-    return np.bincount((key[new] >> K.U(54)).astype(np.int64), minlength=n)
+    return np.bincount(key[new] >> 32, minlength=n)
 
 
-def variety(w: K.Words, h: np.ndarray, k: int = VARIETY_WORDS) -> tuple[np.ndarray, np.ndarray]:
+def variety(w: K.Words, ids: np.ndarray, k: int = VARIETY_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """For each text, (different words, words), both summed over its consecutive k-word windows. The last window of a longer text is its last k
     words, so that all windows are of one size; a text of up to k words is one window."""
     n = w.counts()
     size, many = np.minimum(n, k), -(-n // k)
-    at = np.arange(len(h)) - (np.cumsum(n) - n)[w.doc]
+    at = np.arange(len(ids)) - (np.cumsum(n) - n)[w.doc]
     last = many[w.doc] - 1
     # Words of the last window that the one before holds too.
     again = np.flatnonzero((last > 0) & (at >= n[w.doc] - k) & (at < last * k))
-    doc, window = np.concatenate([w.doc, w.doc[again]]), np.concatenate([at // k, last[again]])
-    return _distinct(doc, K.mix(np.concatenate([h, h[again]]) ^ K.mix(window.astype(K.U))), w.n), size * many
+    base = np.cumsum(many) - many  # windows of earlier texts
+    window = np.concatenate([base[w.doc] + at // k, base[w.doc[again]] + last[again]])
+    per = np.concatenate([[0], np.cumsum(_distinct(window, np.concatenate([ids, ids[again]]), int(many.sum())))])
+    return per[base + many] - per[base], size * many
 
 
-def repeat_words(w: K.Words, h: np.ndarray, k: int = 8) -> np.ndarray:
+def repeat_words(w: K.Words, k: int = 8) -> np.ndarray:
     """For each text, the words inside k-word windows that it holds twice or more."""
-    at, s = K.windows(w, h, k)
-    if not len(at):
-        return np.zeros(w.n, np.int64)
-    key = (w.doc[at].astype(K.U) << K.U(54)) | (s >> K.U(10))
-    order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    twice = np.zeros(len(at), bool)
-    twice[order[1:]] |= same
-    twice[order[:-1]] |= same
-    edge = np.zeros(len(h) + 1, np.int32)
-    edge[at[twice]] += 1
-    edge[at[twice] + k] -= 1
+    at = K.repeated(w, k)
+    edge = np.zeros(len(w.doc) + 1, np.int32)
+    edge[at] += 1
+    edge[at + k] -= 1
     return w.word_total((np.cumsum(edge)[:-1] > 0).astype(np.int64))
 
 
-def lines(w: K.Words, a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def lines(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(\\n-split lines with a word, of those the ones equal to an earlier line), for each text."""
-    up, down = K._power(len(w.data) + 1)
-    breaks = np.flatnonzero(w.data == 10)
-    doc_of = np.searchsorted(w.off, breaks, "right") - 1
-    begin = np.concatenate([w.off[:-1], breaks + 1])
-    doc = np.concatenate([np.arange(w.n), doc_of])
-    order = np.lexsort((begin, doc))
-    begin, doc = begin[order], doc[order]
-    end = np.concatenate([begin[1:], [len(w.data)]]) if len(begin) else begin
-    last = np.concatenate([doc[1:] != doc[:-1], [True]]) if len(doc) else np.zeros(0, bool)
-    end = np.where(last, w.off[doc + 1], end - 1) if len(doc) else end
-    has = np.searchsorted(w.start, end) > np.searchsorted(w.start, begin)
-    begin, end, doc = begin[has], end[has], doc[has]
-    c = np.concatenate([np.zeros(1, K.U), np.cumsum(K._TAB[w.data] * up[:-1])])
-    h = K.mix((c[end] - c[begin]) * down[begin] + (end - begin).astype(K.U))
-    n = np.bincount(doc, minlength=w.n)
-    return n, n - _distinct(doc, h, w.n)
+    parts = pc.split_pattern(a, "\n")
+    doc = np.repeat(np.arange(len(a)), np.diff(parts.offsets.to_numpy()))
+    code = parts.flatten().dictionary_encode()
+    line = code.indices.to_numpy().astype(np.int64)
+    has = (K.words(code.dictionary).counts() > 0)[line] if len(line) else np.zeros(0, bool)
+    n = np.bincount(doc[has], minlength=len(a))
+    return n, n - _distinct(doc[has], line[has], len(a))
 
 
 def stats(a: pa.Array) -> dict[str, np.ndarray]:
+    """COUNTS of each text. Words, lines and windows are told apart by their bytes, not by hashes."""
     w = K.words(a)
-    h = w.hashes()
+    ids = w.ids()[0]
     d = w.data
     size = w.end - w.start
-    n_lines, dup = lines(w, a)
+    n_lines, dup = lines(a)
     last = d[w.end - 1] if len(size) else np.zeros(0, np.uint8)
     plain = _ALNUM[last]
-    letters = np.concatenate([[0], np.cumsum(_ALNUM[d], dtype=np.int64)])
-    alnum = letters[w.end] - letters[w.start]
-    varied, variable = variety(w, h)
+    bare = np.add.reduceat(_ALNUM[d], w.start, dtype=np.int64) == 0 if len(size) else np.zeros(0, bool)  # what follows a word is white space
+    varied, variable = variety(w, ids)
     longest = np.zeros(w.n, np.int64)
     np.maximum.at(longest, w.doc, size)
-    same = np.zeros(len(h), np.int64)
-    if len(h) > 1:
-        same[1:] = (h[1:] == h[:-1]) & (w.doc[1:] == w.doc[:-1])
+    same = np.zeros(len(ids), np.int64)
+    if len(ids) > 1:
+        same[1:] = (ids[1:] == ids[:-1]) & (w.doc[1:] == w.doc[:-1])
     return {
-        "n_words": w.counts(), "word_chars": w.total(((d & 0xC0) != 0x80) & ~K.SPACE[d]), "n_symbols": w.total(SYMBOLS[d]), "n_dup_lines": dup, "n_repeat_words": repeat_words(w, h),
+        "n_words": w.counts(), "word_chars": w.total(((d & 0xC0) != 0x80) & ~K.SPACE[d]), "n_symbols": w.total(SYMBOLS[d]), "n_dup_lines": dup, "n_repeat_words": repeat_words(w),
         "n_lines": n_lines, "n_letters": w.total(_UPPER[d] | _LOWER[d] | _HIGH[d]), "n_upper": w.total(_UPPER[d]), "n_digits": w.total(_DIGIT[d]), "n_bars": w.total(_BAR[d]), "n_bangs": w.total(_BANG[d]),
-        "n_distinct": _distinct(w.doc, h, w.n), "n_ends": w.word_total(_END[last].astype(np.int64)), "n_odd_ends": w.word_total((~plain & ~_END[last]).astype(np.int64)), "n_bare": w.word_total((alnum == 0).astype(np.int64)),
+        "n_distinct": _distinct(w.doc, ids, w.n), "n_ends": w.word_total(_END[last].astype(np.int64)), "n_odd_ends": w.word_total((~plain & ~_END[last]).astype(np.int64)), "n_bare": w.word_total(bare.astype(np.int64)),
         "n_same_next": w.word_total(same), "max_word": longest, "n_varied": varied, "n_variable": variable,
     }
 
