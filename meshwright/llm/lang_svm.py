@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .gam_quality import held_out
-from .shared import bounded
+from .shared import bounded, small
 
-#: Hashed features; the bounds of the fitting sample, in rows for each language and in all.
-DIM, PER_LANG, TRAIN_ROWS, MAX_LANGS = 2048, 1500, 8000, 200
+#: Hashed features; the bounds of the fitting sample, in rows for each language and in all, and the rows of any language that the latter leaves.
+DIM, PER_LANG, TRAIN_ROWS, LEAST_ROWS = 2048, 1500, 8000, 20
 #: The least score of a document whose language counts as known.
 LEAST_SCORE = 0.5
 #: Families of language codes. A code that isn't listed is a family of its own.
@@ -142,25 +142,27 @@ def shares(rows: dict[str, int], total: int) -> dict[str, int]:
 
 def learn(docs: DataFrame, per_lang: int = PER_LANG, train_rows: int = TRAIN_ROWS) -> Hierarchy:
     """The machines, fitted to a bounded sample of the rows outside the held-out fold: up to about per_lang rows of each language, by the hash
-    of their id, and train_rows in all, which the languages share out evenly, those with few rows first."""
+    of their id, and train_rows in all (LEAST_ROWS for each language where that is more), which the languages share out evenly, those with few
+    rows first. Every language is learned: the driver holds a number for each."""
+    spark = docs.sparkSession
     known = bounded(docs).select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    per = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    per = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    train_rows = max(train_rows, LEAST_ROWS * len(per))
     quota = shares({v: min(n, per_lang) for v, n in per.items()}, train_rows)
-    share = F.lit(0)
-    for v, n in per.items():
-        share = F.when(F.col("lang") == v, min(1_000_000, int(1e6 * quota[v] / n) + 1)).otherwise(share)
-    whole = F.col("lang").isin([v for v, n in per.items() if quota[v] >= n])
+    rates = spark.createDataFrame([(v, min(1_000_000, int(1e6 * quota[v] / n) + 1), quota[v] >= n) for v, n in per.items()], "_lang string, _share long, _whole boolean")
 
     def featured(batches):
         for b in batches:
             lang = K.column(b, "lang")
             for i, a in K.pieces(K.column(b, "text"), max_rows=500):
                 x, letter = grams(a)
-                yield pa.RecordBatch.from_arrays([lang.slice(i, len(a)), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(letter)], names=["lang", "x", "letter"])
+                own = K.column(b, "_whole").slice(i, len(a))
+                yield pa.RecordBatch.from_arrays([lang.slice(i, len(a)), own, pa.array([v.tobytes() for v in x], pa.binary()), pa.array(letter)], names=["lang", "_whole", "x", "letter"])
 
     # The sample is chosen before any features are made: rows by the hash of their id, at each language's rate.
-    pick = known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(9)), F.lit(1_000_000)) < share)
-    sample = pick.mapInArrow(featured, "lang string, x binary, letter boolean").where("letter").orderBy(~whole, F.xxhash64("x"), "x", "lang").limit(train_rows)  # languages taken whole come first
+    pick = known.join(small(rates), F.col("lang") == F.col("_lang")).where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(9)), F.lit(1_000_000)) < F.col("_share"))
+    sample = pick.select("text", "lang", "_whole").mapInArrow(featured, "lang string, _whole boolean, x binary, letter boolean").where("letter")
+    sample = sample.orderBy(~F.col("_whole"), F.xxhash64("x"), "x", "lang").limit(train_rows)  # languages taken whole come first
 
     def fitted(batches):
         held = [b for b in batches if b.num_rows]
