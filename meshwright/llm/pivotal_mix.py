@@ -2,6 +2,9 @@
 pairs of documents exchange word mass at random, with unchanged expectations, until one of them is whole, so a source's words stay on its
 target; chunks of documents leave one unrounded document each, and these are combined through a reduction tree. DataFrame functions only.
 
+Rows with the same source, id and text are counted before anything else, so that no task holds them all: among themselves they exchange mass
+until one is left unrounded, which stands for them in the tree; the counts become rows again at the end, in blocks dealt to all tasks.
+
 Defined cases: a null or wordless text has size 0 and is taken 0 times its words; a null source is a source of its own, the last in order;
 repeated rows and null ids are documents of their own (equal rows may be rounded differently); a source without words has target 0; the
 random numbers are hashes of id and text, so reruns agree; an empty table gives an empty result."""
@@ -16,6 +19,8 @@ from .shared import cut, small
 #: The weights that sources take in turn, the share of all words, the most copies.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 CHUNK, SEED = 128, 20_240
+#: Equal rows that one step of a task writes out.
+BLOCK = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -44,13 +49,14 @@ def _meet(s: Column, x: Column) -> Column:
     c_whole = F.when(up, c_up <= x_down).otherwise(c_down <= x_up)
     left = F.when(c_whole, F.when(up, f - c_up / z).otherwise(f + c_down / z)).otherwise(F.when(up, q + x_down / zc).otherwise(q - x_up / zc))
     whole = F.when(c_whole, c).otherwise(x)
-    put = lambda d, v: F.struct(d["size"].alias("size"), d["u"].alias("u"), d["doc_id"].alias("doc_id"), v.alias("f"))
+    put = lambda d, v: F.struct(*(d[k].alias(k) for k in ("size", "u", "doc_id", "rows", "more")), v.alias("f"))
     done = put(whole, F.when(c_whole == up, F.lit(1.0)).otherwise(F.lit(0.0)))
     on = put(F.when(c_whole, x).otherwise(c), F.greatest(F.lit(0.0), F.least(F.lit(1.0), left)))
     return F.struct(on.alias("c"), F.concat(s["out"], F.array(done)).alias("out"))
 
 
-_UNIT = "struct<size:bigint,u:bigint,doc_id:bigint,f:double>"
+#: What stands for `rows` equal rows, `more` of which are rounded up already, in the tree.
+_UNIT = "struct<size:bigint,u:bigint,doc_id:bigint,rows:bigint,more:bigint,f:double>"
 
 
 def _level(units: DataFrame) -> DataFrame:
@@ -61,19 +67,23 @@ def _level(units: DataFrame) -> DataFrame:
     return g.select("source", "chunk", F.aggregate(F.slice("d", 2, 1 << 30), start, _meet).alias("s"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies and u (the hash of id and text) for each row of docs."""
+def _groups(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, chunk: int) -> DataFrame:
+    """A row for each group of rows with the same source, id and text: source, doc_id, size, u (the hash of id and text), source_size, target, rows,
+    whole (copies of every row) and more (the rows that have one copy more)."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    base = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), F.xxhash64("doc_id", "text").alias("u")))
-    sources = targets(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, share, most)
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), F.xxhash64("doc_id", "text").alias("u"))
+    base = cut(base.groupBy("source", "doc_id", "size", "u").agg(F.count("*").alias("rows")))
+    sources = targets(base.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("n")), weights, share, most)
     sources = cut(sources.withColumn("p", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)))
     of = small(sources.select(F.col("source").alias("_source"), "source_size", "target", "n", "p"))
-    rows = base.join(of, F.col("source").eqNullSafe(F.col("_source"))).withColumns({"whole": F.floor("p"), "f": F.col("p") - F.floor("p")})
-    plain = (F.col("f") <= 0) | (F.col("size") == 0)
-    out = ["doc_id", "size", "source_size", "target", "taken", "copies", "u"]
-    taken = lambda extra: [(F.col("size") * (F.col("whole") + extra)).cast("long").alias("taken"), (F.col("whole") + extra).cast("int").alias("copies")]
-    found = [rows.where(plain).select("doc_id", "size", "source_size", "target", *taken(F.lit(0)), "u")]
-    unit = F.struct("size", "u", "doc_id", "f").cast(_UNIT).alias("unit")
+    rows = base.join(of, F.col("source").eqNullSafe(F.col("_source"))).withColumn("whole", F.floor("p"))
+    # Equal rows are as long as each other: rounding them up and down in pairs leaves one of them with the rest of their sum.
+    mass = F.when(F.col("size") == 0, 0.0).otherwise((F.col("p") - F.col("whole")) * F.col("rows"))
+    rows = rows.withColumn("more", F.floor(mass + 1e-9)).withColumn("f", F.greatest(F.lit(0.0), mass - F.col("more")))
+    plain = F.col("f") <= 1e-9
+    out = ["source", "doc_id", "size", "u", "source_size", "target", "rows", "whole", "more"]
+    found = [rows.where(plain).select(out)]
+    unit = F.struct("size", "u", "doc_id", "rows", "more", "f").cast(_UNIT).alias("unit")
     units = rows.where(~plain).select("source", F.pmod("u", F.ceil(F.col("n") / chunk)).alias("chunk"), unit)
     most_chunks = max([r["n"] for r in sources.agg(F.max("n").alias("n")).collect() if r["n"]], default=0)
     while most_chunks:
@@ -85,26 +95,46 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
             end = F.col("s.c").withField("f", F.when(r < F.col("s.c.f"), F.lit(1.0)).otherwise(F.lit(0.0)))
             s = s.select("source", "chunk", F.struct(F.col("s.c").alias("c"), F.concat("s.out", F.array(end)).alias("out")).alias("s"))
         s = cut(s)
-        done = s.select("source", F.explode("s.out").alias("unit")).select(F.col("source"), "unit.doc_id", "unit.size", "unit.f", "unit.u")
-        done = done.join(of, F.col("source").eqNullSafe(F.col("_source"))).withColumn("whole", F.floor("p"))
-        found.append(done.select("doc_id", "size", "source_size", "target", *taken(F.col("f")), "u"))
+        done = s.select("source", F.explode("s.out").alias("unit")).select("source", "unit.*")
+        done = done.join(of, F.col("source").eqNullSafe(F.col("_source"))).withColumns({"whole": F.floor("p"), "more": F.col("more") + F.col("f").cast("long")})
+        found.append(done.select(out))
         units = s.select("source", F.floor(F.col("chunk") / chunk).alias("chunk"), F.col("s.c").alias("unit"))
         if last:
             break
     mixed = found[0]
     for f in found[1:]:
         mixed = mixed.unionByName(f)
-    return mixed.select(out)
-
-
-def repeat(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row of docs as many times as mix takes it. Rows with the same id and text share their copies as evenly as they can."""
-    per = mix(docs).groupBy("u").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).withColumnRenamed("u", "_u")
-    per = cut(per)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64("doc_id", "text").alias("u")).join(small(per), F.col("u") == F.col("_u"))
-    if per.where("_rows > 1").isEmpty():
-        rows = rows.withColumn("n", F.col("_copies"))
-    else:
-        own = F.row_number().over(Window.partitionBy("u").orderBy(F.xxhash64("row")))
-        rows = rows.withColumn("n", F.floor(F.col("_copies") / F.col("_rows")) + (own <= F.col("_copies") % F.col("_rows")).cast("int"))
-    return rows.select("row", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int")))).select("row.*")
+    return mixed
+
+
+def _times(rows: DataFrame, n: str) -> DataFrame:
+    """Each row as many times as its column n says; a high number is dealt to all tasks in blocks."""
+    once = lambda d: d.select("*", F.explode(F.sequence(F.lit(1), F.col(n)))).drop("col", n)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = rows.where(F.col(n) > BLOCK).withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / BLOCK))))
+    many = many.withColumn(n, F.least(F.lit(BLOCK).cast("long"), F.col(n) - F.col("_at") * BLOCK)).repartition(parts, "_at").drop("_at")
+    return once(rows.where(F.col(n).between(1, BLOCK))).unionByName(once(many))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies and u (the hash of id and text) for each row of docs."""
+    both = F.explode(F.array(F.struct(F.col("more").alias("n"), (F.col("whole") + 1).alias("copies")), F.struct((F.col("rows") - F.col("more")).alias("n"), F.col("whole").alias("copies"))))
+    per = _groups(docs, weights, share, most, chunk).select("doc_id", "size", "source_size", "target", "u", both.alias("b")).select("*", "b.n", F.col("b.copies").cast("int").alias("copies")).drop("b")
+    return _times(per, "n").select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", "u")
+
+
+def repeat(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The mix itself: each row of docs as many times as mix takes it. Rows with the same source, id and text share their copies as evenly as they
+    can, in the order of a hash of all their columns."""
+    per = cut(_groups(docs, WEIGHTS, SHARE, MOST, chunk).select(F.col("u").alias("_u"), F.col("source").alias("_source"), "rows", "whole", "more"))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64("doc_id", "text").alias("u"), F.col("source").alias("of"))
+    on = lambda p: (F.col("u") == F.col("_u")) & F.col("of").eqNullSafe(F.col("_source"))
+    found = own.join(small(per.where("rows = 1")), on(per)).select("row", (F.col("whole") + F.col("more")).alias("n"))
+    twice = per.where("rows > 1")
+    if not twice.isEmpty():
+        # Rows that are equal in all columns are counted, as they can't be told apart.
+        same = own.join(small(cut(twice)), on(per)).withColumn("h", F.xxhash64("row")).groupBy("u", "of", "h").agg(F.first("row").alias("row"), F.count("*").alias("same"), F.first("whole").alias("whole"), F.first("more").alias("more"))
+        before = F.coalesce(F.sum("same").over(Window.partitionBy("u", "of").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        extra = F.greatest(F.lit(0), F.least(F.col("same"), F.col("more") - before))
+        found = found.unionByName(same.select("row", (F.col("same") * F.col("whole") + extra).alias("n")))
+    return _times(found, "n").select("row.*")
