@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, small
+from .shared import chunks, cut, running_total, small
 
 #: Tokens of a window and of its repeated history.
 BUDGET, HISTORY = 1024, 192
@@ -47,12 +47,25 @@ def _role(mark: Column) -> Column:
 
 
 def _blocks(turns: DataFrame, block: int) -> DataFrame:
-    """turns with a column block: 0 in a conversation of up to `block` turns; a longer one is split by ranges of turn numbers, into blocks of
-    `block` turns on average. Turns with one number share a block."""
-    long_ones = turns.groupBy("conv_id").agg(F.count("*").alias("_n"), F.min("turn").cast("double").alias("_lo"), F.max("turn").cast("double").alias("_hi")).where(F.col("_n") > block)
-    long_ones = small(cut(long_ones.select(F.col("conv_id").alias("_c"), "_lo", F.greatest(F.lit(1.0), (F.col("_hi") - F.col("_lo") + 1) * block / F.col("_n")).alias("_width"))))
-    own = turns.join(long_ones, F.col("conv_id").eqNullSafe(F.col("_c")), "left")
-    return own.withColumn("block", F.coalesce(F.floor((F.col("turn") - F.col("_lo")) / F.col("_width")) + 1, F.lit(0)).cast("long")).drop("_c", "_lo", "_width")
+    """turns with a column block: 0 in a conversation of up to `block` turns; longer ones are split into blocks of `block` turns by their places,
+    whatever their numbers are. The turns of long conversations are dealt to tasks by ranges of their order; a turn's place is the one in its
+    task, after the turns that earlier tasks have of its conversation."""
+    order = ["turn", "role", "own"]
+    long_ones = cut(turns.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > block).withColumnRenamed("key", "_k"))
+    total = long_ones.agg(F.sum("_n")).first()[0]
+    if not total:
+        return turns.withColumn("block", F.lit(0).cast("long"))
+    long_ones, on = small(long_ones.select("_k")), F.col("key") == F.col("_k")
+    # The start of a text is enough to deal turns by; turns that share it stay together.
+    dealt = turns.join(long_ones, on, "left_semi").repartitionByRange(min(20_000, chunks(total, block)), "key", "turn", "role", F.substring("own", 1, 64))
+    dealt = cut(dealt.withColumn("_part", F.spark_partition_id()))
+    totals = running_total(dealt.groupBy("key", "_part").agg(F.count("*").alias("_t")), ["key"], ["_part"], "_t", "_before")
+    totals = small(cut(totals.select(F.col("key").alias("_k"), F.col("_part").alias("_p"), "_before")))
+    place = F.row_number().over(Window.partitionBy("key", "_part").orderBy(*order))
+    dealt = dealt.withColumn("_place", place).join(totals, on & (F.col("_part") == F.col("_p")))
+    dealt = dealt.withColumn("block", (F.floor((F.col("_place") + F.col("_before") - 1) / block) + 1).cast("long"))
+    short = turns.join(long_ones, on, "left_anti").withColumn("block", F.lit(0).cast("long"))
+    return short.unionByName(dealt.select(short.columns))
 
 
 def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, block: int = BLOCK) -> DataFrame:
@@ -63,11 +76,11 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     own = escape(text)
     first, last = _marks(role)
-    turns = _blocks(conversations.select("conv_id", "turn", "role", "text"), block)
-    turns = turns.select(
-        F.struct("conv_id").alias("key"), "block", "turn", role.alias("role"), own.alias("own"), F.concat(first, own, last).alias("shown"), F.length(first).alias("lead"),
+    turns = conversations.select(
+        F.struct("conv_id").alias("key"), "turn", role.alias("role"), own.alias("own"), F.concat(first, own, last).alias("shown"), F.length(first).alias("lead"),
         (F.regexp_count(own, F.lit(_TOKEN)) + 2).cast("long").alias("tokens"),
     )
+    turns = _blocks(turns, block)
     order = Window.partitionBy("key", "block").orderBy("turn", "role", "own")
     turns = turns.withColumns({"sum": F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)), "at": F.row_number().over(order)})
     conv = turns.groupBy("key", "block").agg(F.array_sort(F.collect_list(F.struct("at", "role", "own", "shown", "lead", "tokens", "sum"))).alias("t"))
