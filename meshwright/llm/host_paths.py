@@ -2,14 +2,17 @@
 are counted by host and path in Spark, and every page is extracted again from the elements at its host's winning path.
 
 Defined cases: a null or empty html gives an empty text; a null or odd url belongs to the host ''; a page without the winning path falls back
-to its own best container, one without any container to the whole body; unclosed elements end with their parent or the page; repeated rows
-and null ids are extracted row by row; ties between paths go to the longer, then the last by name; an empty table gives an empty result."""
+to its own best container, one without any container to the whole body; a title (h1) that stands before a container without one, as a child of
+what holds it, belongs to its text; pages may be nested as deeply as they like (work and memory are in proportion to the page); unclosed
+elements end with their parent or the page; repeated rows and null ids are extracted row by row; ties between paths go to the longer, then the
+last by name; an empty table gives an empty result."""
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,14 +59,61 @@ def _opened(tag: str, attrs: str) -> tuple[str, bool]:
     return step, drop
 
 
-def parse(page: str) -> tuple[list[tuple[int, list[str], int]], list[tuple[int, str, bool]]]:
-    """(blocks, elements): a block has its element, its parts of raw text and its characters inside links; an element its parent, its path and
-    whether it can be a container. Text of dropped elements is left out."""
-    elements: list[tuple[int, str, bool]] = [(-1, "", True)]
+class Elements:
+    """A page's elements, numbered in page order, so that a child's number is above its parent's. Their generalised paths aren't stored, as in deep
+    pages they would take memory in the square of the depth: equal paths have equal numbers, and a path is written out where it is asked for."""
+
+    def __init__(self):
+        self.up, self.container, self.path = [-1], [True], [0]
+        self.step, self.over, self.length, self.main = [""], [-1], [0], [False]  # of each path: last step, path above, characters
+        self._known: dict[tuple[int, str], int] = {}
+
+    def __len__(self) -> int:
+        return len(self.up)
+
+    def add(self, up: int, step: str, container: bool) -> int:
+        key = (self.path[up], step)
+        path = self._known.get(key)
+        if path is None:
+            path = self._known[key] = len(self.step)
+            self.step.append(step)
+            self.over.append(key[0])
+            self.length.append(self.length[key[0]] + 1 + len(step))
+            self.main.append(_MAIN.match(step) is not None)
+        self.up.append(up)
+        self.container.append(container)
+        self.path.append(path)
+        return len(self.up) - 1
+
+    def written(self, path: int) -> str:
+        steps = []
+        while path:
+            steps.append(self.step[path])
+            path = self.over[path]
+        return "".join(f"/{s}" for s in reversed(steps))
+
+    def find(self, written: str) -> int | None:
+        """The path of that writing, if a container has it."""
+        reached = [0] + [-1] * (len(self.step) - 1)  # characters of `written` that a path makes up
+        for k in range(1, len(self.step)):
+            at = reached[self.over[k]]
+            if at >= 0 and written.startswith("/" + self.step[k], at):
+                reached[k] = at + 1 + len(self.step[k])
+        full = {k for k, at in enumerate(reached) if k and at == len(written)}
+        return next((p for p, ok in zip(self.path, self.container) if ok and p in full), None)
+
+
+_MAIN, _HEAD = re.compile(r"(?:article|main)\b"), re.compile(r"h1\b")
+
+
+def parse(page: str) -> tuple[list[tuple[int, list[str], int]], Elements]:
+    """(blocks, elements): a block has its element, its parts of raw text and its characters inside links. Text of dropped elements is left out."""
+    elements = Elements()
     stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, nearest element that isn't inline, dropped
+    is_open: dict[str, int] = defaultdict(int)  # of tags on the stack, so that it is searched for those only
     blocks: list[tuple[int, list[str], int]] = []
     parts: list[str] = []
-    links, pos, in_link = 0, 0, 0
+    links, pos = 0, 0
 
     def end_block():
         nonlocal parts, links
@@ -72,17 +122,17 @@ def parse(page: str) -> tuple[list[tuple[int, list[str], int]], list[tuple[int,
         parts, links = [], 0
 
     def close_to(k: int):
-        nonlocal in_link
         if any(t not in INLINE for t, _, _ in stack[k:]):
             end_block()
-        in_link -= sum(t == "a" for t, _, _ in stack[k:])
+        for t, _, _ in stack[k:]:
+            is_open[t] -= 1
         del stack[k:]
 
     for m in _TOKEN.finditer(page):
         if m.start() > pos and not stack[-1][2]:
             text = page[pos : m.start()]
             parts.append(text)
-            links += len(text) if in_link else 0
+            links += len(text) if is_open["a"] else 0
         pos = m.end()
         tag = m[2]
         if tag is None:
@@ -91,7 +141,7 @@ def parse(page: str) -> tuple[list[tuple[int, list[str], int]], list[tuple[int,
         if tag == "br":
             parts.append(" ")
         elif m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if is_open[tag] else ():
                 if stack[k][0] == tag:
                     close_to(k)
                     break
@@ -105,10 +155,10 @@ def parse(page: str) -> tuple[list[tuple[int, list[str], int]], list[tuple[int,
                 end_block()
         else:
             if tag not in INLINE:
-                shut = CLOSED_BY.get(tag)
-                for k in range(len(stack) - 1, 0, -1):
+                shut = CLOSED_BY.get(tag, ())
+                for k in range(len(stack) - 1, 0, -1) if is_open["p"] or any(is_open[t] for t in shut) else ():
                     t = stack[k][0]
-                    if t == "p" or shut and t in shut:
+                    if t == "p" or t in shut:
                         close_to(k)
                         break
                     if t not in INLINE and t not in LEAF:
@@ -117,69 +167,87 @@ def parse(page: str) -> tuple[list[tuple[int, list[str], int]], list[tuple[int,
             step, drop = _opened(tag, m[3])
             at = stack[-1][1]
             if tag not in INLINE and tag not in ("html", "body"):  # those are the root, which must not vote once for each
-                elements.append((at, f"{elements[at][1]}/{step}", tag not in LEAF))
-                at = len(elements) - 1
-            in_link += tag == "a"
+                at = elements.add(at, step, tag not in LEAF)
             if not m[3].endswith("/") or tag in INLINE:
                 stack.append((tag, at, drop or stack[-1][2]))
+                is_open[tag] += 1
     if pos < len(page) and not stack[-1][2]:
         parts.append(page[pos:])
     end_block()
     return blocks, elements
 
 
-def scores(blocks, elements) -> dict[int, float]:
+def scores(blocks, elements: Elements) -> dict[int, float]:
     """Each container's score: its own blocks' characters outside links, less those inside, and most of its children's scores."""
     own = [0.0] * len(elements)
     for at, parts, links in blocks:
         n = sum(len(p.strip()) for p in parts)
-        while not elements[at][2]:
-            at = elements[at][0]
+        while not elements.container[at]:
+            at = elements.up[at]
         own[at] += max(0.0, n - links - LINK_WEIGHT * links)
     for i in range(len(elements) - 1, 0, -1):
-        own[elements[i][0]] += CHILD_SHARE * own[i]
-    return {i: s * (MAIN_BONUS if re.search(r"/(article|main)\b[^/]*$", elements[i][1]) else 1.0) for i, s in enumerate(own) if s > 0 and elements[i][2]}
+        own[elements.up[i]] += CHILD_SHARE * own[i]
+    return {i: s * (MAIN_BONUS if elements.main[elements.path[i]] else 1.0) for i, s in enumerate(own) if s > 0 and elements.container[i]}
 
 
 def vote(page: str) -> str | None:
     """The path whose containers have the highest score in sum, of equal ones the longest; where it has several containers, the path of the lowest
     element around all of them, unless that is the root. A page has one vote."""
-    by: dict[str, float] = {}
-    at: dict[str, list[int]] = {}
+    by: dict[int, float] = {}
+    at: dict[int, list[int]] = {}
     blocks, elements = parse(page)
     for i, s in scores(blocks, elements).items():
-        path = elements[i][1]
+        path = elements.path[i]
         by[path] = by.get(path, 0.0) + s
         at.setdefault(path, []).append(i)
-    best = max(by, key=lambda p: (by[p], len(p), p), default=None)
-    if best is None:
+    if not by:
         return None
+    top = max((by[p], elements.length[p]) for p in by)
+    best = max((p for p in by if (by[p], elements.length[p]) == top), key=elements.written)
     around = _around(elements, at[best])
-    return elements[around][1] if around else best
+    return elements.written(elements.path[around] if around else best)
 
 
-def _around(elements, inner: list[int]) -> int:
+def _around(elements: Elements, inner: list[int]) -> int:
     """The lowest element that is or holds each of inner."""
-    up = set(inner)
-    while len(up) > 1:
-        low = max(up)  # an element's number is above its parent's
-        up.remove(low)
-        up.add(elements[low][0])
-    return up.pop()
+    seen, heap = set(inner), [-i for i in set(inner)]
+    heapq.heapify(heap)
+    while len(heap) > 1:  # the one with the highest number gives way to its parent, whose number is lower
+        up = elements.up[-heapq.heappop(heap)]
+        if up not in seen:
+            seen.add(up)
+            heapq.heappush(heap, -up)
+    return -heap[0]
+
+
+def _title(elements: Elements, at: list[int], inside: list[bool]) -> set[int]:
+    """The h1 elements that stand before the main text as children of what holds it, where the main text has none of its own."""
+    first = next((i for i in at if inside[i]), 0)
+    heads = {i for i in at if _HEAD.match(elements.step[elements.path[i]])}
+    if not first or any(inside[i] for i in heads):
+        return set()
+    around, up = set(), first
+    while up >= 0:
+        up = elements.up[up]
+        around.add(up)
+    return {i for i in heads if i < first and elements.up[i] in around}
 
 
 def extract(page: str, path: str | None) -> str:
     """The main text at the elements with that path, else at the page's own best container."""
     blocks, elements = parse(page)
-    inside = [False] * len(elements)
-    for i, (up, own, ok) in enumerate(elements):
-        inside[i] = i > 0 and inside[up] or path is not None and ok and own == path
+    want = elements.find(path) if path else None
+    inside = [path == ""] + [False] * (len(elements) - 1)
+    for i in range(1, len(elements)):
+        inside[i] = i > 0 and inside[elements.up[i]] or want is not None and elements.container[i] and elements.path[i] == want
     if not any(inside[at] for at, _, _ in blocks):
         own = scores(blocks, elements)
         best = max(own, key=lambda i: (own[i], -i), default=0)
-        for i, (up, _, _) in enumerate(elements):
-            inside[i] = i == best or i > 0 and inside[up]
-    texts = (_SPACES.sub(" ", html.unescape("".join(parts))).strip() for at, parts, _ in blocks if inside[at])
+        inside = [i == best for i in range(len(elements))]
+        for i in range(1, len(elements)):
+            inside[i] |= inside[elements.up[i]]
+    title = _title(elements, [at for at, _, _ in blocks], inside)
+    texts = (_SPACES.sub(" ", html.unescape("".join(parts))).strip() for at, parts, _ in blocks if inside[at] or at in title)
     return "\n".join(t for t in texts if t)
 
 
