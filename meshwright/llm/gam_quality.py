@@ -1,6 +1,6 @@
 """Quality classifier: a generalised additive model with pairwise interactions. Boosting goes round the features; each step fits a shallow tree
-to one feature's bins (then, for the pairs that explain the residuals best, to a grid of two features' bins) and adds it to that feature's
-lookup table. A text's score is the sum of its bins' entries.
+to one feature's bins and adds it to that feature's lookup table. The pairs of features whose best tree of one cut along each explains the
+residuals best then join the rounds with tables of their own. A text's score is the sum of its bins' entries.
 
 Defined cases: a null or empty text has counts of 0 and gets a score like any other; labels that are null, for unknown documents, or
 contradictory are used as they are (nulls and unknown ones not at all); without labels of both kinds every score is the share of label 1
@@ -63,6 +63,21 @@ class Gam:
             out[i:j] = g[i:j].sum() / (h[i:j].sum() + lam)
         return out
 
+    @staticmethod
+    def _quadrants(g: np.ndarray, h: np.ndarray, lam: float = 5.0) -> tuple[float, np.ndarray]:
+        """(gain, values of cells) of the best tree of two levels that cuts a grid once along each feature."""
+        cut = lambda c, a, b: np.stack([c[a, b], c[a, -1] - c[a, b], c[-1, b] - c[a, b], c[-1, -1] - c[a, -1] - c[-1, b] + c[a, b]])
+        if min(g.shape) < 2:
+            return 0.0, np.zeros(g.shape)
+        a, b = (v.ravel() for v in np.meshgrid(np.arange(g.shape[0] - 1), np.arange(g.shape[1] - 1), indexing="ij"))
+        sums, weights = (cut(v.cumsum(0).cumsum(1), a, b) for v in (g, h))
+        gain = (sums**2 / (weights + lam)).sum(0)
+        k = int(gain.argmax())
+        value = sums[:, k] / (weights[:, k] + lam)
+        out = np.empty(g.shape)
+        out[: a[k] + 1, : b[k] + 1], out[: a[k] + 1, b[k] + 1 :], out[a[k] + 1 :, : b[k] + 1], out[a[k] + 1 :, b[k] + 1 :] = value
+        return float(gain[k]), out
+
     def fit(self, x: np.ndarray, y: np.ndarray) -> Gam:
         share = float(y.mean()) if len(y) else 0.5
         p = min(max(share, 1e-3), 1 - 1e-3)
@@ -73,31 +88,37 @@ class Gam:
         at = [np.searchsorted(c, x[:, j], "right") for j, c in enumerate(self.cuts)]
         self.tables = [np.zeros(len(c) + 1) for c in self.cuts]
         f = np.full(len(y), self.base)
-        for _ in range(self.cycles):
+
+        def boost():
+            nonlocal f
             for j, b in enumerate(at):
                 q = 1 / (1 + np.exp(-f))
                 step = self.rate * self._shallow(np.bincount(b, y - q, len(self.tables[j])), np.bincount(b, q * (1 - q), len(self.tables[j])))
                 self.tables[j] += step
-                f += step[b]
+                f = f + step[b]
+
+        for _ in range(self.cycles):
+            boost()
         self.pair_cuts = [self._edges(x[:, j], self.pair_bins) for j in range(x.shape[1])]
-        at = [np.searchsorted(c, x[:, j], "right") for j, c in enumerate(self.pair_cuts)]
-        q = 1 / (1 + np.exp(-f))
-        gains = []
-        for i in range(x.shape[1]):
-            for j in range(i):
-                n = len(self.pair_cuts[j]) + 1
-                cell = at[i] * n + at[j]
-                g, h = np.bincount(cell, y - q), np.bincount(cell, q * (1 - q))
-                gains.append((float((g * g / (h + 5)).sum()), i, j))
-        self.pairs = [(i, j) for _, i, j in sorted(gains, reverse=True)[: self.n_pairs]]
-        self.pair_tables = [np.zeros((len(self.pair_cuts[i]) + 1) * (len(self.pair_cuts[j]) + 1)) for i, j in self.pairs]
+        low = [np.searchsorted(c, x[:, j], "right") for j, c in enumerate(self.pair_cuts)]
+        shape = lambda i, j: (len(self.pair_cuts[i]) + 1, len(self.pair_cuts[j]) + 1)
+
+        def grid(i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            q = 1 / (1 + np.exp(-f))
+            n = shape(i, j)
+            cell = low[i] * n[1] + low[j]
+            return cell, np.bincount(cell, y - q, n[0] * n[1]).reshape(n), np.bincount(cell, q * (1 - q), n[0] * n[1]).reshape(n)
+
+        gains = [(self._quadrants(*grid(i, j)[1:])[0], i, j) for i in range(x.shape[1]) for j in range(i)]
+        self.pairs = [(i, j) for gain, i, j in sorted(gains, reverse=True)[: self.n_pairs] if gain > 0]
+        self.pair_tables = [np.zeros(np.prod(shape(i, j))) for i, j in self.pairs]
         for _ in range(self.cycles // 3):
             for t, (i, j) in zip(self.pair_tables, self.pairs):
-                cell = at[i] * (len(self.pair_cuts[j]) + 1) + at[j]
-                q = 1 / (1 + np.exp(-f))
-                step = self.rate * np.bincount(cell, y - q, len(t)) / (np.bincount(cell, q * (1 - q), len(t)) + 5)
+                cell, g, h = grid(i, j)
+                step = self.rate * self._quadrants(g, h)[1].ravel()
                 t += step
                 f += step[cell]
+            boost()
         return self
 
     def score(self, x: np.ndarray) -> np.ndarray:
