@@ -96,6 +96,8 @@ def components(edges: DataFrame, by: tuple[str, ...] = (), max_rounds: int = 60)
         raise RuntimeError(f"components: edges are left after {max_rounds} rounds")
     if not maps:
         return e.select(*by, F.col("u").alias("node"), F.col("v").alias("root"))
+    if len(maps) == 1:
+        return maps[0].select(*by, F.col("u").alias("node"), F.col("p").alias("root"))
     done = maps[-1]
     for m in reversed(maps[:-1]):
         up = done.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("u").alias("_u"), F.col("p").alias("_p"))

@@ -56,3 +56,10 @@ def faults(records: DataFrame) -> DataFrame:
 def extents(records: DataFrame, by: list[str]) -> DataFrame:
     """First and last position, and rows, of each file (or other unit)."""
     return records.groupBy(*by, "partition").agg(F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"), F.count("*").alias("rows"))
+
+
+def droppable(segments: DataFrame, position: DataFrame) -> DataFrame:
+    """(segment, droppable) of segments (segment, partition, offset: their last ones): those that a committed position dominates."""
+    p = position.select(F.col("partition").alias("_p"), F.col("offset").alias("_o"))
+    done = segments.join(F.broadcast(p), F.col("partition") == F.col("_p"), "left")
+    return done.groupBy("segment").agg(F.bool_and(F.col("offset") <= F.coalesce("_o", F.lit(0))).alias("droppable"))
