@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from .functions.model import explode_by_scope, f1_edges, f2_records, normalize, parse_scope
 from .operators import layers, positions, topology
-from .plans.lineage import cut
+from .plans.lineage import cut, fresh
+from .sources import logs
+from .streaming.engine import Engine
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,10 +68,12 @@ def scope_root_all(spark, sf_dir):
     return _roots(spark, sf_dir)[2]
 
 
-@_query(_cc() + " SELECT scope_id, node, root FROM a WHERE node % 97 = 3 AND scope_id IN (2, 5)")
+@_query(_cc() + " SELECT scope_id, node, root FROM a WHERE scope_id = 2")
 def scope_root_single(spark, sf_dir):
+    """Every node's root in one scope."""
     e = f1_edges(spark, sf_dir)
-    return topology.scope_root(topology.build(e), _all_nodes(e).where("node % 97 = 3 AND scope_id IN (2, 5)")).select("scope_id", "node", "root")
+    own = topology.nodes(e).select(F.lit(2).cast("long").alias("scope_id"), "node")
+    return topology.scope_root(topology.build(e), own).select("scope_id", "node", "root")
 
 
 @_query(_cc(1) + " SELECT node, root FROM a")
@@ -78,60 +83,41 @@ def global_components(spark, sf_dir):
     return topology.shared_roots(topology.nodes(e), "node", shared, "root").select("node", "root")
 
 
-@_query(_cc() + """ SELECT x.scope_id, x.node AS u, y.node AS v, x.root = y.root AS connected FROM a x JOIN a y ON x.scope_id = y.scope_id AND y.node = x.node + 7
- WHERE x.node % 5 = 0""")
-def connected_pairs(spark, sf_dir):
-    e = f1_edges(spark, sf_dir)
-    n = topology.nodes(e)
-    asked = _all_nodes(e).where("node % 5 = 0").withColumnRenamed("node", "u").withColumn("v", F.col("u") + 7).join(n.withColumnRenamed("node", "v"), "v", "left_semi")
-    return topology.connected(topology.build(e), asked).select("scope_id", "u", "v", "connected")
-
-
 @_query(_cc() + " SELECT x.scope_id, x.node AS u, y.node AS v, x.root = y.root AS connected FROM a x JOIN a y ON x.scope_id = y.scope_id AND y.node = x.node + 7")
-def connected_pairs_all(spark, sf_dir):
+def connected_pairs(spark, sf_dir):
     e = f1_edges(spark, sf_dir)
     n = topology.nodes(e)
     asked = _all_nodes(e).withColumnRenamed("node", "u").withColumn("v", F.col("u") + 7).join(n.withColumnRenamed("node", "v"), "v", "left_semi")
     return topology.connected(topology.build(e), asked).select("scope_id", "u", "v", "connected")
 
 
-_MEMBERS = """, q AS (SELECT * FROM a WHERE node % 211 = 4 AND scope_id IN (0, 3)),
- m AS (SELECT q.scope_id, q.node, q.root, list_sort(list(a.node)) AS l FROM q JOIN a ON a.scope_id = q.scope_id AND a.root = q.root GROUP BY ALL)"""
-
-
-def _asked(e: DataFrame) -> DataFrame:
-    return _all_nodes(e).where("node % 211 = 4 AND scope_id IN (0, 3)")
+def _components(spark, sf_dir) -> tuple[topology.State, DataFrame]:
+    """The state, and a question for the lowest node of every component of every scope."""
+    _, state, roots = _roots(spark, sf_dir)
+    return state, roots.select("scope_id", F.col("root").alias("node")).distinct()
 
 
-@_query(_cc() + _MEMBERS + " SELECT scope_id, node, root, array_to_string(l, ',') AS members, CAST(len(l) AS BIGINT) AS n, FALSE AS truncated FROM m WHERE len(l) <= 10000")
+@_query(_cc() + """ SELECT scope_id, root, array_to_string(list_sort(list(node))[1:10000], ',') AS members, CAST(least(count(*), 10000) AS BIGINT) AS n, count(*) > 10000 AS truncated
+ FROM a GROUP BY scope_id, root""")
 def members_complete(spark, sf_dir):
-    e = f1_edges(spark, sf_dir)
-    m = topology.members(topology.build(e), _asked(e), topology.MOST_MEMBERS).where("not truncated")
-    return m.select("scope_id", "node", "root", _joined(F.col("members")).alias("members"), F.col("count").cast("long").alias("n"), "truncated")
+    """The members of every component of every scope, up to the most that may be asked for."""
+    m = topology.members(*_components(spark, sf_dir), topology.MOST_MEMBERS)
+    return m.select("scope_id", "root", _joined(F.col("members")).alias("members"), F.col("count").cast("long").alias("n"), "truncated")
 
 
-@_query(_cc() + _MEMBERS + " SELECT scope_id, node, root, array_to_string(l[1:3], ',') AS members, len(l) > 3 AS truncated FROM m")
+@_query(_cc() + """, m AS (SELECT scope_id, root, array_to_string(list_sort(list(node))[1:3], ',') AS members, count(*) > 3 AS truncated FROM a GROUP BY scope_id, root)
+ SELECT a.scope_id, a.node, a.root, m.members, m.truncated FROM a JOIN m USING (scope_id, root)""")
 def members_capped(spark, sf_dir):
-    e = f1_edges(spark, sf_dir)
-    m = topology.members(topology.build(e), _asked(e), 3)
+    """The lowest three members of the component of every node in every scope."""
+    e, state, _ = _roots(spark, sf_dir)
+    m = topology.members(state, _all_nodes(e), 3)
     return m.select("scope_id", "node", "root", _joined(F.col("members")).alias("members"), "truncated")
 
 
 @_query(_cc() + " SELECT scope_id, root, node AS member FROM a")
 def members_all(spark, sf_dir):
     """Every member of every component of every scope. A row for each member, so that a component's size is no bound."""
-    _, state, roots = _roots(spark, sf_dir)
-    asked = roots.select("scope_id", F.col("root").alias("node")).distinct()
-    return topology.member_rows(state, asked).select("scope_id", "root", "member")
-
-
-@_query(_cc() + " SELECT scope_id, root, array_to_string(list_sort(list(node))[1:3], ',') AS members, count(*) > 3 AS truncated FROM a GROUP BY ALL")
-def members_all_capped(spark, sf_dir):
-    """The lowest three members of every component of every scope."""
-    _, state, roots = _roots(spark, sf_dir)
-    asked = roots.select("scope_id", F.col("root").alias("node")).distinct()
-    m = topology.members(state, asked, 3)
-    return m.select("scope_id", "root", _joined(F.col("members")).alias("members"), "truncated")
+    return topology.member_rows(*_components(spark, sf_dir)).select("scope_id", "root", "member")
 
 
 @_query(_cc() + " SELECT scope_id, root, count(*) AS n FROM a GROUP BY ALL")
@@ -164,41 +150,50 @@ def registry(spark, sf_dir):
 
 @_query(_cc(1) + " SELECT a.root, count(DISTINCT e.scope_id) AS scopes FROM e JOIN a ON a.node IN (e.src, e.dst) WHERE e.scope_id <> 0 GROUP BY ALL")
 def scopes_for_root(spark, sf_dir):
-    return topology.build(f1_edges(spark, sf_dir)).registry.groupBy("root").agg(F.count("scope_id").alias("scopes"))
+    return topology.scopes_for_root(topology.build(f1_edges(spark, sf_dir))).groupBy("root").agg(F.count("scope_id").alias("scopes"))
+
+
+@_query(_cc().replace("und.u = c.node AND (und.scope_id = 0 OR und.scope_id = c.s)", "und.u = c.node").replace("unnest(range(0, 8))", "0") + " SELECT node, root FROM a")
+def union_components(spark, sf_dir):
+    """Components over the edges of all scopes together."""
+    e = f1_edges(spark, sf_dir)
+    return topology.shared_roots(topology.nodes(e), "node", topology.union_view(e), "root").select("node", "root")
 
 
-def _two_batches(spark, sf_dir) -> tuple[DataFrame, topology.State, topology.State, DataFrame]:
+def _two_batches(spark, sf_dir) -> tuple[DataFrame, topology.State, topology.Delta]:
+    """All edges, the state after those of two thirds of the sources, and what the others change."""
     e = f1_edges(spark, sf_dir)
     first = topology.build(e.where("src % 3 <> 0"))
-    second, touched = topology.advance(first, e.where("src % 3 = 0"))
-    return e, first, second, touched
+    return e, first, topology.advance(first, e.where("src % 3 = 0"))
 
 
 @_query(_cc() + " SELECT scope_id, node, root FROM a")
 def incremental_roots(spark, sf_dir):
-    e, _, state, _ = _two_batches(spark, sf_dir)
-    return topology.scope_root(state, _all_nodes(e)).select("scope_id", "node", "root")
-
-
-def _stack(spark, sf_dir) -> tuple[DataFrame, list[layers.Run], topology.State]:
-    e, first, second, touched = _two_batches(spark, sf_dir)
-    one = layers.Run(first.shared, first.overlay, first.overlay.select("scope_id").distinct())
-    two = layers.Run(layers.delta(first.shared, second.shared), second.overlay.join(touched, "scope_id", "left_semi"), touched)
-    return e, [one, two], second
+    e, first, delta = _two_batches(spark, sf_dir)
+    return topology.scope_root(first.plus(delta), _all_nodes(e)).select("scope_id", "node", "root")
 
 
 @_query(_cc() + " SELECT scope_id, node, root FROM a")
 def layered_resolve(spark, sf_dir):
-    e, runs, state = _stack(spark, sf_dir)
-    state = topology.State(layers.resolve_shared([r.shared for r in runs]), layers.resolve_overlay(runs), state.registry)
-    return topology.scope_root(state, _all_nodes(e)).select("scope_id", "node", "root")
+    """Roots by the pairs of two layers, resolved to one."""
+    e, first, delta = _two_batches(spark, sf_dir)
+    both = first.plus(delta)
+    return topology.scope_root(topology.State(both.shared, both.overlay, both.registry), _all_nodes(e)).select("scope_id", "node", "root")
 
 
 @_query(_cc() + " SELECT scope_id, node, root FROM a")
 def compaction_equivalence(spark, sf_dir):
-    e, runs, state = _stack(spark, sf_dir)
-    one = layers.merged(runs)
-    return topology.scope_root(topology.State(cut(one.shared), cut(one.overlay), state.registry), _all_nodes(e)).select("scope_id", "node", "root")
+    """Roots by one run that stands for two."""
+    e, first, delta = _two_batches(spark, sf_dir)
+    one = layers.merged([layers.Run(first.shared, first.overlay, first.registry), layers.Run.of(delta)])
+    return topology.scope_root(topology.State(cut(one.shared), cut(one.overlay), one.registry), _all_nodes(e)).select("scope_id", "node", "root")
+
+
+@_query(_cc(1) + " SELECT DISTINCT a.root, e.scope_id FROM e JOIN a ON a.node IN (e.src, e.dst) WHERE e.scope_id <> 0")
+def merged_registry(spark, sf_dir):
+    """The registry of one run that stands for two: roots that the second absorbed are corrected."""
+    _, first, delta = _two_batches(spark, sf_dir)
+    return layers.merged([layers.Run(first.shared, first.overlay, first.registry), layers.Run.of(delta)]).registry.select("root", "scope_id")
 
 
 _HALF = f"""WITH RECURSIVE e AS ({F1}), h AS (SELECT src u, dst v FROM e WHERE scope_id = 0 AND src % 3 <> 0),
@@ -214,8 +209,8 @@ _HALF = f"""WITH RECURSIVE e AS ({F1}), h AS (SELECT src u, dst v FROM e WHERE s
  SELECT DISTINCT reg.scope_id, g.child, g.parent FROM (SELECT * FROM gone UNION SELECT * FROM lone) g JOIN reg ON reg.root = g.child""")
 def merge_fixups_delta(spark, sf_dir):
     """Absorbed shared roots that a scope has overlay state on: the scopes a global merge must reach."""
-    _, first, second, _ = _two_batches(spark, sf_dir)
-    gone = layers.delta(first.shared, second.shared).select(F.col("node").alias("root"), F.col("root").alias("parent"))
+    _, first, delta = _two_batches(spark, sf_dir)
+    gone = delta.shared.select(F.col("node").alias("root"), F.col("root").alias("parent"))
     return first.registry.join(gone, "root").select("scope_id", F.col("root").alias("child"), "parent")
 
 
@@ -235,9 +230,9 @@ def graph_id_current(spark, sf_dir):
 @_query(_HALF + " SELECT e.src, e.dst, coalesce(o.root, e.src) AS graph_id_at_ingest, w.root AS graph_id_current FROM e LEFT JOIN old o ON o.node = e.src JOIN new w ON w.node = e.src WHERE e.scope_id = 0 AND e.src % 3 <> 0")
 def graph_id_at_ingest(spark, sf_dir):
     """The component a global edge of the first batch had when it came, and has now."""
-    e, first, second, _ = _two_batches(spark, sf_dir)
-    q = topology.shared_roots(e.where("scope_id = 0 AND src % 3 <> 0"), "src", first.shared, "graph_id_at_ingest")
-    return topology.shared_roots(q, "src", second.shared, "graph_id_current").select("src", "dst", "graph_id_at_ingest", "graph_id_current")
+    e, first, delta = _two_batches(spark, sf_dir)
+    q = topology.shared_roots(e.where("scope_id = 0 AND src % 3 <> 0"), "src", first.shared_layers, "graph_id_at_ingest")
+    return topology.shared_roots(q, "src", first.plus(delta).shared_layers, "graph_id_current").select("src", "dst", "graph_id_at_ingest", "graph_id_current")
 
 
 _LISTS = "CASE event_id % 5 WHEN 0 THEN [] WHEN 1 THEN [0, 5] WHEN 2 THEN [7, 7, 3] WHEN 3 THEN [event_id % 4 + 1] ELSE [event_id % 4 + 2, event_id % 3 + 1] END"
@@ -268,16 +263,9 @@ def edge_explode(spark, sf_dir):
     return explode_by_scope(r.withColumn("scopes", F.when(F.size("scopes") == 0, F.col("scopes")).otherwise(F.array_append("scopes", F.lit(6).cast("long")))))
 
 
-@_query(f"SELECT src, dst, count(*) AS n FROM ({F1}) WHERE scope_id = 3 AND src < 2000 GROUP BY ALL")
-def edge_table_scan(spark, sf_dir):
-    """A read of the edge table by scope and source, the order its files are sorted in."""
-    t = cut(f1_edges(spark, sf_dir).repartition("scope_id").sortWithinPartitions("scope_id", "src"))
-    return t.where("scope_id = 3 AND src < 2000").groupBy("src", "dst").agg(F.count("*").alias("n"))
-
-
 @_query(f"SELECT src, dst, count(*) AS n FROM ({F1}) WHERE scope_id = 3 GROUP BY ALL")
-def edge_table_scope(spark, sf_dir):
-    """A read of the edge table by scope alone."""
+def edge_table_scan(spark, sf_dir):
+    """A read of the edge table by scope, the order its files are sorted in."""
     t = cut(f1_edges(spark, sf_dir).repartition("scope_id").sortWithinPartitions("scope_id", "src"))
     return t.where("scope_id = 3").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
@@ -297,12 +285,14 @@ def dedup_below_position(spark, sf_dir):
     return positions.above(f2_records(spark, sf_dir), positions.frame(spark, {0: 100, 2: 37})).select("partition", "offset", "src", "dst")
 
 
-_MARKS = f'WITH f AS ({F2}), a AS (SELECT partition, max("offset") AS o FROM f WHERE src % 3 = 0 AND partition < 3 GROUP BY ALL), b AS (SELECT partition, max("offset") AS o FROM f WHERE src % 5 = 0 AND partition > 0 GROUP BY ALL)'
+_A, _B = 'partition < 3 AND "offset" <= 1000 * (partition + 1)', 'partition > 0 AND "offset" <= 1500 * partition'
+_MARKS = f'WITH f AS ({F2}), a AS (SELECT partition, max("offset") AS o FROM f WHERE {_A} GROUP BY ALL), b AS (SELECT partition, max("offset") AS o FROM f WHERE {_B} GROUP BY ALL)'
 
 
 def _marks(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Two positions in the log, neither of which dominates the other."""
     f = f2_records(spark, sf_dir)
-    return positions.advance(f.where("src % 3 = 0 AND partition < 3")), positions.advance(f.where("src % 5 = 0 AND partition > 0"))
+    return positions.advance(f.where(_A.replace('"', "`"))), positions.advance(f.where(_B.replace('"', "`")))
 
 
 @_query(_MARKS + ' SELECT partition, max(o) AS "offset" FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL')
@@ -330,9 +320,8 @@ def out_of_order_detect(spark, sf_dir):
  SELECT segment, bool_and(o <= CASE partition WHEN 0 THEN 250 WHEN 1 THEN 300 WHEN 2 THEN 199 ELSE 260 END) AS droppable FROM s GROUP BY ALL""")
 def drop_committed_segments(spark, sf_dir):
     """Segments that a committed position dominates."""
-    s = f2_records(spark, sf_dir).withColumn("segment", F.floor((F.col("offset") - 1) / 100)).groupBy("segment", "partition").agg(F.max("offset").alias("o"))
-    done = F.when(F.col("partition") == 0, 250).when(F.col("partition") == 1, 300).when(F.col("partition") == 2, 199).otherwise(260)
-    return s.groupBy("segment").agg(F.bool_and(F.col("o") <= done).alias("droppable"))
+    s = f2_records(spark, sf_dir).withColumn("segment", F.floor((F.col("offset") - 1) / 100)).groupBy("segment", "partition").agg(F.max("offset").alias("offset"))
+    return positions.droppable(s, positions.frame(spark, {0: 250, 1: 300, 2: 199, 3: 260}))
 
 
 _RUNS = "SELECT o_orderkey AS run, o_orderkey * 3 + CASE WHEN o_orderkey % 40 = 9 THEN 1 ELSE 0 END AS min_sequence, o_orderkey * 3 + 2 AS max_sequence FROM orders"
@@ -343,37 +332,38 @@ def run_adjacency_check(spark, sf_dir):
     """Runs that don't begin right after the one before."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("run"))
     o = o.select("run", (F.col("run") * 3 + F.when(F.col("run") % 40 == 9, 1).otherwise(0)).alias("min_sequence"), (F.col("run") * 3 + 2).alias("max_sequence"))
-    before = o.select((F.col("run") + 1).alias("run"), F.col("max_sequence").alias("before"))  # by a join, as a window over all runs would be one task
-    return o.join(before, "run").where("before + 1 <> min_sequence").select("run", "min_sequence", "before")
-
-
-@_query("""SELECT o_orderkey AS object FROM orders WHERE o_orderkey % 4 = 0 AND o_orderdate < TIMESTAMP '1997-01-01'
- AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 2)""")
-def retention_live_set(spark, sf_dir):
-    """Objects of a listing that are old enough and that nothing names."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 4 = 0 AND o_orderdate < TIMESTAMP '1997-01-01'").select(F.col("o_orderkey").alias("object"))
-    live = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber = 2").select(F.col("l_orderkey").alias("object"))
-    return o.join(live, "object", "left_anti")
+    return layers.gaps(o)
 
 
 @_query("SELECT o_orderkey AS object FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 2)")
-def retention_live_set_all(spark, sf_dir):
-    """All objects that are old enough and that nothing names."""
+def retention_live_set(spark, sf_dir):
+    """All objects of a listing that are old enough and that nothing names."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderdate < TIMESTAMP '1997-01-01'").select(F.col("o_orderkey").alias("object"))
     live = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber = 2").select(F.col("l_orderkey").alias("object"))
-    return o.join(live, "object", "left_anti")
+    return layers.unreachable(o, live)
 
 
-@_query(_cc() + """ SELECT (SELECT count(*) FROM e) AS links, (SELECT count(*) FROM e WHERE scope_id = 0) AS global_links, (SELECT count(*) FROM e WHERE scope_id <> 0) AS scope_links,
- (SELECT count(DISTINCT scope_id) FROM e WHERE scope_id <> 0) AS active_scopes, (SELECT count(*) FROM a WHERE scope_id = 0 AND node <> root) AS shared_pairs""")
+@_query(f"""WITH RECURSIVE f AS ({F2}), und AS (SELECT src u, dst v FROM f WHERE scope_id = 0 UNION SELECT dst, src FROM f WHERE scope_id = 0), n AS (SELECT DISTINCT u FROM und),
+ cc(node, root) USING KEY (node) AS (SELECT u, u FROM n UNION SELECT und.v, min(c.root) FROM cc c JOIN und ON und.u = c.node JOIN recurring.cc r ON r.node = und.v WHERE c.root < r.root GROUP BY und.v)
+ SELECT (SELECT count(*) FROM f) AS events_applied, (SELECT count(*) FROM f WHERE scope_id = 0) AS global_links, (SELECT count(*) FROM f WHERE scope_id <> 0) AS scope_links,
+ (SELECT count(DISTINCT scope_id) FROM f WHERE scope_id <> 0) AS active_scopes, (SELECT count(*) FROM cc WHERE node <> root) AS base_shared_pairs, (SELECT max("offset") FROM f) AS last_offset,
+ CAST(2 AS BIGINT) AS folds, TRUE AS members_available""")
 def stats(spark, sf_dir):
-    e = f1_edges(spark, sf_dir)
-    shared = topology.build(e.where("scope_id = 0")).shared.agg(F.count("*").alias("shared_pairs"))
-    own = F.when(F.col("scope_id") != 0, F.col("scope_id"))
-    return e.agg(F.count("*").alias("links"), F.count_if(F.col("scope_id") == 0).alias("global_links"), F.count(own).alias("scope_links"), F.count_distinct(own).alias("active_scopes")).join(shared)
+    """The counters of a warehouse that has applied the whole log in two commits, records of the first being sent again with the second."""
+    e = Engine(spark, _posix(fresh(spark, "warehouse")), check=False)
+    records = f2_records(spark, sf_dir)
+    e.apply(records.where("partition < 2"))
+    e.apply(records)
+    return e.stats().select("events_applied", "global_links", "scope_links", "active_scopes", "base_shared_pairs", "last_offset", "folds", "members_available")
 
 
 @_query(f"SELECT scope_id, count(*) AS n, min(event_time) AS first_time FROM ({F2}) GROUP BY ALL")
 def log_replay(spark, sf_dir):
-    """The events as an edge table, by scope."""
-    return explode_by_scope(f2_records(spark, sf_dir)).groupBy("scope_id").agg(F.count("*").alias("n"), F.min("event_time").alias("first_time"))
+    """The events, written as a log and read back as an edge table, by scope."""
+    at = fresh(spark, "log")
+    logs.write_log(f2_records(spark, sf_dir), at)
+    return explode_by_scope(logs.read_log(spark, at)).groupBy("scope_id").agg(F.count("*").alias("n"), F.min("event_time").alias("first_time"))
+
+
+def _posix(path: str) -> str:
+    return re.sub(r"^file:/+", "/", path)
