@@ -1,6 +1,10 @@
 """The engine against plain union-find, over seeded random edges, crashes, replays, merges and races."""
 
+import itertools
+import json
+import os
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,13 +61,13 @@ def test_components(spark, monkeypatch, finish):
 
 
 def test_one_shot_and_incremental(spark):
-    rnd = random.Random(0xB1A2E)
+    rnd = random.Random(20_261)
     batches = [_random(rnd, 12, glob=0.1), _random(rnd, 15, glob=0.6), [(1, 2, 3), (2, 2, 1)]]
     scopes, nodes = range(7), range(-1, 42)
     asked = _asked(spark, scopes, nodes)
     state, seen = topology.build(_frame(spark, batches[0])), list(batches[0])
     for b in batches[1:]:
-        state, _ = topology.advance(state, _frame(spark, b))
+        state = state.plus(topology.advance(state, _frame(spark, b)))
         seen += b
         want = _roots(seen, scopes, nodes)
         assert _answers(topology.scope_root(state, asked)) == want
@@ -83,8 +87,9 @@ def test_one_shot_and_incremental(spark):
 
 def test_scope_edge_then_global_merge(spark):
     state = topology.build(_frame(spark, [(5, 9, 1)]))
-    state, touched = topology.advance(state, _frame(spark, [(3, 9, 0)]))
-    assert [r[0] for r in touched.collect()] == [1]
+    delta = topology.advance(state, _frame(spark, [(3, 9, 0)]))
+    assert [tuple(r) for r in delta.fixups.collect()] == [(1, 9, 3)] and [tuple(r) for r in delta.overlay.collect()] == [(1, 5, 3)]
+    state = state.plus(delta)
     assert _answers(topology.scope_root(state, _asked(spark, [0, 1], [3, 5, 9]))) == {(0, 3): 3, (0, 5): 5, (0, 9): 3, (1, 3): 3, (1, 5): 3, (1, 9): 3}
 
 
@@ -104,10 +109,25 @@ def test_positions(spark):
 
 
 def test_tier_policy():
-    pick = layers.pick_merge
-    assert pick([0] * 3, 4, 100) is None and pick([0] * 5, 4, 100) == (0, 4) and pick([1, 1, 1, 1, 0, 0, 0, 0], 4, 100) == (4, 8) and pick([1, 1, 1, 1, 0, 0, 0], 4, 100) == (0, 4)
-    assert pick([0, 0, 1, 0, 0], 4, 100) is None and pick([0, 0, 1, 0, 0, 0, 0], 4, 100) == (3, 7) and pick([3, 2, 1, 1, 0], 10, 5) == (2, 4) and pick([4, 3, 2, 1, 0], 10, 3) is None
-    assert pick([0, 0], 1, 100) == (0, 2) and pick([], 10, 0) is None
+    """Against a plain search over all stacks of up to seven runs of three levels."""
+
+    def plain(levels, fanout, ceiling):
+        for least in [fanout] + [2] * (len(levels) >= ceiling):
+            for level in sorted(set(levels)):
+                for a in range(len(levels)):
+                    n = 0
+                    while a + n < len(levels) and levels[a + n] == level:
+                        n += 1
+                    if n >= least:
+                        return a, a + min(n, fanout)
+        return None
+
+    for n in range(8):
+        for levels in itertools.product(range(3), repeat=n):
+            for fanout, ceiling in ((2, 100), (3, 4), (4, 6), (4, 100), (10, 3)):
+                assert layers.pick_merge(list(levels), fanout, ceiling) == plain(levels, fanout, ceiling)
+    assert layers.pick_merge([0, 0], 1, 100) == (0, 2) and layers.merged_level([]) == 0 and layers.merged_level([0, 2, 1]) == 3
+    assert layers.locate("abcde", "cd") == 2 and layers.locate("abde", "cd") is None and layers.spliced("abcde", 2, 2, "X") == list("abXe")
 
 
 def test_catalog(tmp_path):
@@ -169,9 +189,20 @@ def test_log_replay_crash_and_stream(spark, tmp_path):
     before = len(e.catalog.latest().runs)
     assert e.compact() and len(e.catalog.latest().runs) < before and e.position() == {0: 80, 1: 80, 2: 80}
     assert _answers(e.components(asked)) == want and _answers(topology.scope_root(pinned, asked)) == old
-    assert e.retain(keep=1) and not e.retain(keep=1) and _answers(Engine(spark, str(tmp_path / "w"), stream).components(asked)) == want
+    assert not e.retain().deleted and not e.retain(keep=1, window_ms=0).snapshots_kept == 0  # nothing is old enough
+    stray = tmp_path / "w" / "data" / "part-of-a-failed-commit"
+    stray.mkdir()
+    (stray / "x.parquet").write_text("x")
+    assert e.retain(keep=1, window_ms=0).too_young and stray.exists()  # a writer may be about to commit it
+    gone = e.retain(keep=1, window_ms=0, grace_ms=0)
+    assert "data/part-of-a-failed-commit" in gone.deleted and not e.retain(keep=1, window_ms=0, grace_ms=0).deleted
+    e = Engine(spark, str(tmp_path / "w"), stream)
+    assert _answers(e.components(asked)) == want and e.position() == {0: 80, 1: 80, 2: 80}
+    assert e.edges().select("partition", "offset").distinct().count() == 240 and e.edges().count() == len(edges)
     s = e.stats().first()
-    assert s["events_applied"] >= 0 and s["active_scopes"] == 4
+    assert s["events_applied"] == 240 and s["active_scopes"] == 4 and s["folds"] == 3 and s["last_offset"] == 80
+    assert s["global_links"] == sum(x == 0 for *_, x in edges) and s["scope_links"] == sum(x > 0 for *_, x in edges)
+    assert s["base_mapped_bytes"] > 0 and s["base_index_bytes"] > 0 and s["base_shared_pairs"] == e.state().shared.count()
     with pytest.raises(LogBackedError):
         e.inject(records)
     with pytest.raises(catalog.CatalogError):
