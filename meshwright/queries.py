@@ -362,7 +362,7 @@ def log_replay(spark, sf_dir):
     """The events, written as a log and read back as an edge table, by scope."""
     at = fresh(spark, "log")
     logs.write_log(f2_records(spark, sf_dir), at)
-    return explode_by_scope(logs.read_log(spark, at)).groupBy("scope_id").agg(F.count("*").alias("n"), F.min("event_time").alias("first_time"))
+    return explode_by_scope(logs.read_log(spark, at)).groupBy("scope_id").agg(F.count("*").alias("n"), F.min("event_time").cast("timestamp_ntz").alias("first_time"))
 
 
 def _posix(path: str) -> str:

@@ -225,7 +225,7 @@ def write_log(records: DataFrame, path: str) -> None:
     scopes = normalize("scopes")
     v = F.when(F.array_contains(scopes, 0), F.lit('"global"')).otherwise(F.concat(F.lit('{"scoped":'), F.to_json(scopes), F.lit("}")))
     props = F.when(F.col("props").isNull(), "").otherwise(F.concat(F.lit(',"props":'), F.expr("substr(to_json(array(props)), 2, length(to_json(array(props))) - 2)")))
-    line = F.concat(F.lit('{"src":'), F.col("src").cast("string"), F.lit(',"dst":'), F.col("dst").cast("string"), F.lit(',"visibility":'), v, F.lit(',"event_time_ms":'), F.unix_millis("event_time").cast("string"), props, F.lit("}"))
+    line = F.concat(F.lit('{"src":'), F.col("src").cast("string"), F.lit(',"dst":'), F.col("dst").cast("string"), F.lit(',"visibility":'), v, F.lit(',"event_time_ms":'), F.unix_millis(F.col("event_time").cast("timestamp")).cast("string"), props, F.lit("}"))
     records.select("partition", "offset", line.alias("value")).repartitionByRange("partition", "offset").sortWithinPartitions("partition", "offset").select("value", "partition").write.partitionBy("partition").text(path)
 
 
