@@ -357,7 +357,7 @@ def stats(spark, sf_dir):
     return e.stats().select("events_applied", "global_links", "scope_links", "active_scopes", "base_shared_pairs", "last_offset", "folds", "members_available")
 
 
-@_query(f"SELECT scope_id, count(*) AS n, min(event_time) AS first_time FROM ({F2}) GROUP BY ALL")
+@_query(f"SELECT scope_id, count(*) AS n, date_trunc('milliseconds', min(event_time)) AS first_time FROM ({F2}) GROUP BY ALL")  # a log has milliseconds
 def log_replay(spark, sf_dir):
     """The events, written as a log and read back as an edge table, by scope."""
     at = fresh(spark, "log")
