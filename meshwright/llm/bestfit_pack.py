@@ -24,7 +24,7 @@ from .shared import bounded, chunks, cut
 
 CAPACITY = 2048
 #: Pieces of one packing group, rounds of exchange, and words and parts of words that a worker's cache holds.
-GROUP, ROUNDS, CACHE, PARTS = 8192, 3, 700_000, 150_000
+GROUP, ROUNDS, CACHE, PARTS = 8192, 3, 1_000_000, 150_000
 
 
 def _byte_chars() -> list[str]:
@@ -66,12 +66,25 @@ class Coder:
         self.by_word = self.by_word and all(self._word(w) == self.tok.encode(w, add_special_tokens=False).ids for w in _PROBES)
 
     def clear(self):
-        """The cache: the words' bytes and where their ids are in a pool."""
+        """The cache: the words' bytes and where their ids are in a pool. Words are known as seen lately or before; once CACHE / 2 of them were seen
+        lately, those that weren't are forgotten, so that frequent words stay."""
         self.known: dict[bytes, int] = {}
+        self.before: dict[bytes, int] = {}
+        self.slots = 0
         self.at, self.size = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32), 0
         self.parts: dict[str, bytes] = {}
 
+    def _age(self):
+        slots = np.fromiter(self.known.values(), np.int64, len(self.known))
+        at, size = self.at[slots], self.size[slots]
+        begin = np.cumsum(size) - size
+        total = int(size.sum())
+        self.pool[:total] = self.pool[np.repeat(at - begin, size) + np.arange(total)]
+        self.used, self.slots = total, len(slots)
+        self.at[: len(slots)], self.size[: len(slots)] = begin, size
+        self.before, self.known = dict(zip(self.known, range(len(slots)))), {}
+
     def _word(self, text: str) -> list[int]:
         if not self._PLAIN.fullmatch(text) or "<|" in text:  # its lower case or composition may depend on more than single characters
             return self.tok.encode(text, add_special_tokens=False).ids
@@ -87,17 +100,17 @@ class Coder:
 
     def _add(self, words: list[bytes]):
         ids: list[int] = []
-        first, need = len(self.known), len(self.known) + len(words)
+        need = self.slots + len(words)
         if need > len(self.at):
             self.at, self.size = (np.concatenate([x, np.zeros(need, x.dtype)]) for x in (self.at, self.size))
-        for k, w in enumerate(words, first):
+        for k, w in enumerate(words, self.slots):
             own = self._word(w.decode())
             self.known[w], self.at[k], self.size[k] = k, self.used + len(ids), len(own)
             ids += own
         if self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(self.used + len(ids) - len(self.pool), len(self.pool) // 2), self.pool.dtype)])
         self.pool[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
+        self.used, self.slots = self.used + len(ids), need
 
     def encode(self, a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with a 0 after it; texts' bounds in them)."""
@@ -108,10 +121,16 @@ class Coder:
             return np.concatenate([np.zeros(0, np.uint32), *whole.values()]), bound
         w = K.words(a)
         number, different = w.ids()[0], w.different()
-        new = [v for v in different if v not in self.known]
-        if new and len(self.known) + len(new) > CACHE:
-            self.clear()
-            new = different
+        if len(self.known) > CACHE // 2:
+            self._age()
+        new = []
+        for v in different:
+            if v not in self.known:
+                k = self.before.get(v)
+                if k is None:
+                    new.append(v)
+                else:
+                    self.known[v] = k
         self._add(new)
         slots = np.array([self.known[v] for v in different], np.int64)[number] if different else np.zeros(0, np.int64)
         size = self.size[slots]

@@ -58,6 +58,17 @@ def test_other_tokenizers_go_by_whole_texts():
         assert ids[bound[k] : bound[k + 1]].tolist() == [*coder.tok.encode(t, add_special_tokens=False).ids, 0]
 
 
+def test_words_that_the_cache_forgets(monkeypatch):
+    monkeypatch.setattr(bestfit_pack, "CACHE", 40)
+    coder, rnd = bestfit_pack.Coder(bestfit_pack.default_tokenizer()), random.Random(3)
+    for _ in range(60):
+        texts = [" ".join(rnd.choice(["often", "seen", f"rare{rnd.randrange(900)}", f"x{rnd.randrange(30)}"]) for _ in range(12)) for _ in range(3)]
+        ids, bound = coder.encode(pa.array(texts))
+        for k, t in enumerate(texts):
+            assert ids[bound[k] : bound[k + 1]].tolist() == [*coder.tok.encode(t, add_special_tokens=False).ids, 0]
+    assert len(coder.before) + len(coder.known) < 120
+
+
 def test_long_text_in_pieces_of_its_own():
     rnd = random.Random(1)
     t = " ".join(rnd.choice(["lo", "mer", "tin", "sa"]) + str(rnd.randrange(5000)) for _ in range(400_000))
