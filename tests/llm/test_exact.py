@@ -223,6 +223,25 @@ def test_recall_by_similarity(spark):
     assert (at >= 0.8).sum() > 80 and hit[at >= 0.8].mean() >= 0.99 and not hit[at < 0.8].any()
 
 
+def test_recall_by_plain_similarity(spark):
+    """Copies with a passage pasted in many more times: alike by plain Jaccard alone, as the weights of the passage differ."""
+    rnd = random.Random(12)
+    rows, plain, weighted = [], [], []
+    for g in range(600):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(104)]
+        copy = list(base)
+        for _ in range(g % 3):
+            copy[rnd.randrange(50, 104)] = f"n{rnd.randrange(10**6)}"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy[:30] * 60 + copy))]
+        a, b = (dict(zip(s.tolist(), w)) for s, w in probminhash._sets(pa.array([rows[-2][1], rows[-1][1]])))
+        plain.append(len(a.keys() & b.keys()) / len(a.keys() | b.keys()))
+        weighted.append(sum(1 / sum(max(a.get(e, 0) / a[d], b.get(e, 0) / b[d]) for e in {*a, *b}) for d in a.keys() & b.keys()))
+    found = {r["doc_id"]: r["class_id"] for r in probminhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit, at = np.array([found[2 * g + 1] == 2 * g for g in range(600)]), np.array(plain)
+    assert max(weighted) < 0.75 and (at >= 0.8).sum() > 300
+    assert hit[at >= 0.8].mean() >= 0.999 and not hit[at < 0.8].any()
+
+
 def test_most_of_a_corpus_may_be_bad():
     patterns, counts = np.array([[0, 0, 1], [0, 1, 1], [2, 1, 2]]), np.array([500.0, 300, 200])
     prior, ratio = weak_rules.fit(patterns, counts)
