@@ -5,7 +5,8 @@ similarity; bands of registers give candidates, and every candidate pair is veri
 Candidates of a bucket are not listed pair by pair. First each member is checked against the bucket's leader (the member with the most band
 mates, as the original of a group of copies has); verified links are joined to components; then, in buckets that still hold several components,
 pairs of different components with enough equal registers are compared whole, where they meet; only links leave a bucket, and buckets too
-large for one task are first split by a second shared band, then into blocks that all meet.
+large for one task are first split by a second shared band, then into blocks that all meet. Pairs that share no band but that of a split bucket are
+found by their signatures, of which all blocks of the bucket meet, and verified. So which pairs are compared doesn't depend on how large a bucket is.
 
 Weights are 1 + ln(times in the text). Two texts are linked if the exact Jaccard similarity of their five-word shingles, or the exact probability
 Jaccard similarity with those weights, is 0.8 or more. A text that repeats a shingle has a second sketch, in which all weights are 1, so that both
@@ -34,6 +35,8 @@ REGISTERS = BANDS * ROWS
 LEAST_EQUAL = int(REGISTERS * (LEAST - 4.5 * (LEAST * (1 - LEAST) / REGISTERS) ** 0.5))
 #: Members of a bucket or block that one pass compares; larger ones are split.
 BLOCK = 1024
+#: Signatures of a split bucket that meet in one task, as so many blocks.
+WIDE = 16
 #: Hashes that different texts may share.
 MOST_CLASHES = 10_000
 
@@ -267,6 +270,64 @@ def _compared(rows: DataFrame, groups: int, least: float, equal: int) -> DataFra
     return rows.select(*_ROW).repartition(groups, "k", "x", "y").sortWithinPartitions("k", "x", "y").mapInArrow(run, "u long, v long")
 
 
+def _lone(nid, comp, block, sig, marks, x: int, y: int, equal: int):
+    """Pairs of members of blocks x and y of one bucket that share no other band, of different components, with enough equal registers."""
+    left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+    own, labels = np.ascontiguousarray(marks[right].T), comp[right]
+    for i in left.tolist():
+        j = right[((own == marks[i][:, None]).sum(0, dtype=np.uint8) == 1) & (labels != comp[i])]
+        j = j[j > i] if x == y else j
+        j = j[(sig[j] == sig[i]).sum(1) >= equal]
+        if len(j):
+            yield np.full(len(j), nid[i]), nid[j]
+
+
+def _alone(rows: DataFrame, groups: int, equal: int) -> DataFrame:
+    """The pairs (u, v) of _lone inside each group (k, x, y) of rows (k, x, y, block, nid, comp, sig)."""
+
+    def pairs(held: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(held)
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(-1, REGISTERS + 4 * BANDS)
+        sig, marks = sig[:, :REGISTERS], sig[:, REGISTERS:].copy().view(np.uint32)
+        return _lone(*(t[c].to_numpy() for c in ("nid", "comp", "block")), sig, marks, t["x"][0].as_py(), t["y"][0].as_py(), equal)
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        now = None
+
+        def found():
+            us, vs, n = [], [], 0
+            for u, v in pairs(held):
+                us, vs, n = [*us, u], [*vs, v], n + len(u)
+                if n > 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+                    us, vs, n = [], [], 0
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+
+        for b in batches:
+            key = np.stack([K.column(b, c).to_numpy() for c in ("k", "x", "y")], 1)
+            edge = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+            for i, j in zip(edge, edge[1:]):
+                if i == j:
+                    continue
+                if held and tuple(key[i]) != now:
+                    yield from found()
+                    held = []
+                now = tuple(key[i])
+                held.append(b.slice(i, j - i))
+        if held:
+            yield from found()
+
+    return rows.select("k", "x", "y", "block", "nid", "comp", "sig").repartition(groups, "k", "x", "y").sortWithinPartitions("k", "x", "y").mapInArrow(run, "u long, v long")
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """rows of buckets k of `parts` blocks, once for each block that a row's own meets: block, x and y."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("nid", "k"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
+
+
 def classes(docs: DataFrame, block: int = BLOCK, least: float = LEAST, equal: int = LEAST_EQUAL) -> DataFrame:
     """doc_id, nid and class_id for each row of docs. equal: the equal registers of 96 below which a pair isn't compared in the second pass; 0
     compares all that share a band."""
@@ -308,12 +369,20 @@ def _classes(docs: DataFrame, block: int = BLOCK, least: float = LEAST, equal: i
     cols = ["k", "j", "j2", *key, "comp", "n", "mask", "parts"]
     rows = of.where("parts <= 1").withColumn("j2", F.lit(-1)).join(big.select(*key, "mask"), key, "left").withColumn("mask", F.coalesce("mask", F.lit(0))).select(cols)
     rows = cut(rows.unionByName(pairs.join(cut(many), "k").select(cols)))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("nid", "k"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
-    rows = rows.join(one.select(*key, "sig"), key).join(_texts(rows.select("nid"), docs, avoid), "nid")
+    rows = _met(rows).join(one.select(*key, "sig"), key).join(_texts(rows.select("nid"), docs, avoid), "nid")
     more = cut(_compared(rows, parts, least, equal).distinct())
     if not more.isEmpty():
-        root = components(links.unionByName(more))
+        links = cut(links.unionByName(more))
+        root = components(links)
+    # Third pass: pairs that share the band of a split bucket alone, so that the second pass compared them nowhere.
+    split = of.where("parts > 1")
+    if not split.isEmpty():
+        split = split.select("k", *key, "members").join(root.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("root", "nid")).drop("root")
+        mixed = split.groupBy("k").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("k")
+        split = split.join(mixed, "k", "left_semi").withColumn("parts", F.ceil(F.col("members") / (block * WIDE)).cast("int"))
+        rest = verified(_alone(_met(split).join(one.select(*key, "sig"), key), parts, equal), docs, least, avoid)
+        if not rest.isEmpty():
+            root = components(links.unionByName(rest))
     # Texts have their component's root; rows the lowest id of their class.
     of = cut(raw.where("not plain").select("doc_id", "nid").join(root.withColumnRenamed("node", "nid"), "nid", "left").join(
         one.where("not plain").select("nid", F.lit(True).alias("has")), "nid", "left").select("doc_id", "nid", F.when(F.col("has"), F.coalesce("root", "nid")).alias("root")))

@@ -58,3 +58,21 @@ def test_heavy_shingles_of_texts_of_other_sizes():
     same = np.zeros((2, probminhash.REGISTERS), np.uint8)
     got = probminhash._linked(ids, ids, np.array([10, 25]), np.zeros(2), same, marks, np.zeros(2, int), (0, -1), 0, 0, sets, 0.8)
     assert got == [(0, 1)]
+
+
+def _passage_rows():
+    """Texts that all hold one passage, too little to be linked by, and pairs of them that have more in common."""
+    rnd = random.Random(21)
+    common = [f"w{rnd.randrange(5000)}" for _ in range(45)]
+    rows = []
+    for _ in range(150):
+        both = [f"p{rnd.randrange(10**6)}" for _ in range(15)]
+        rows += [(len(rows) + k, " ".join(common + both + [f"o{rnd.randrange(10**6)}" for _ in range(40)])) for k in range(2)]
+    return rows
+
+
+def test_split_buckets_lose_no_pair(spark):
+    """A pair whose only shared band is that of a bucket which is split is compared as in a bucket that isn't."""
+    d = spark.createDataFrame(_passage_rows(), "doc_id long, text string")
+    whole, split = ({r["doc_id"]: r["class_id"] for r in probminhash.classes(d, block, 0.33, 0).collect()} for block in (1024, 8))
+    assert whole == split and len(set(whole.values())) < 230
