@@ -390,10 +390,10 @@ def _classes(docs: DataFrame, block: int = BLOCK, least: float = LEAST, equal: i
     return of.join(name, "root", "left").select("doc_id", "nid", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("root").isNotNull().alias("has_words")), avoid
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class: the one with the lowest id (of equal ids, the text with the lowest hash; of equal rows, any). Rows
-    without a word all stay."""
-    found, avoid = _classes(docs)
+def keep_one(docs: DataFrame, block: int = BLOCK, least: float = LEAST, equal: int = LEAST_EQUAL) -> DataFrame:
+    """docs with one row of each of its `classes`: the one with the lowest id (of equal ids, the text with the lowest hash; of equal rows, any). Rows
+    without a word all stay. equal = 0 compares all pairs that share a band."""
+    found, avoid = _classes(docs, block, least, equal)
     stay = found.where("has_words").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "nid")).alias("best"))
     stay = cut(stay.select(F.col("best.doc_id").alias("_doc"), F.col("best.nid").alias("_nid")))
     # Columns of docs travel in a struct, so that none can clash.

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
+import corpus_pipeline
 from meshwright.llm import host_paths, kernel, lang_svm, probminhash, weak_rules
 from meshwright.llm.textstats import stats
 
@@ -76,3 +77,18 @@ def test_split_buckets_lose_no_pair(spark):
     d = spark.createDataFrame(_passage_rows(), "doc_id long, text string")
     whole, split = ({r["doc_id"]: r["class_id"] for r in probminhash.classes(d, block, 0.33, 0).collect()} for block in (1024, 8))
     assert whole == split and len(set(whole.values())) < 230
+
+
+def test_pipeline_loses_no_pair_of_split_buckets(spark, monkeypatch):
+    """The pipeline's near-duplicates: no row stays because the bucket of its only shared band was split, or because of an estimate."""
+    d = spark.createDataFrame(_passage_rows(), "doc_id long, text string")
+    classes = probminhash._classes
+
+    def kept(block):
+        monkeypatch.setattr(probminhash, "_classes", lambda docs, *_: classes(docs, block, 0.33, 0))
+        return {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, d, "").collect()}
+
+    whole = kept(1024)
+    assert kept(8) == whole and len(whole) < 230
+    monkeypatch.setattr(probminhash, "_classes", classes)
+    assert {r["doc_id"] for r in probminhash.keep_one(d, 8, 0.33, 0).collect()} == whole
