@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, running_total, size_bytes, small
+from .shared import cut, size_bytes, small
 
 SHARDS, ROUNDS = 16, 10
 
@@ -23,19 +23,19 @@ def _pick(values: list[int], by: Column) -> Column:
 
 
 def _loads(df: DataFrame, weight: Column, shards: int) -> list[int]:
-    got = {r[0]: r[1] for r in df.groupBy("shard").agg(F.sum(weight)).collect()}  # a number for each shard
-    return [int(got.get(s) or 0) for s in range(shards)]
+    got = df.agg(*(F.sum(F.when(F.col("shard") == s, weight)) for s in range(shards))).first()
+    return [int(x or 0) for x in got]
 
 
-def _prefix(df: DataFrame, by: list[str], bucket: str, order: list[str], weight: str, out: str) -> DataFrame:
-    """Exclusive prefix sums of weight within `by`, ordered by bucket and `order`: within buckets by windows, across them by a table of totals."""
-    totals = running_total(df.groupBy(*by, bucket).agg(F.sum(weight).alias("_t")), by, [bucket], "_t", "_before").drop("_t")
-    w = Window.partitionBy(*by, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    inside = df.withColumn("_in", F.coalesce(F.sum(weight).over(w), F.lit(0)))
-    names = [*by, bucket]
-    totals = small(cut(totals.select(*(F.col(c).alias(f"_{c}") for c in names), "_before")))
-    on = [F.col(c) == F.col(f"_{c}") for c in names]
-    return inside.join(totals, on).withColumn(out, F.col("_before") + F.col("_in")).drop("_before", "_in", *(f"_{c}" for c in names))
+def _before(df: DataFrame, to: str, totals: list[tuple[int, int, int]]) -> DataFrame:
+    """df with _before: the sum of the totals (a number of `to`, a bucket, a weight) of its row's `to` in lower buckets; 0 where there is none. The
+    totals are a few for each bucket, and there are as many buckets as the root of a shard's rows."""
+    rows, sums = [], dict.fromkeys((t for t, _, _ in totals), 0)
+    for t, bucket, x in sorted(totals):
+        rows.append((t, bucket, sums[t]))
+        sums[t] += x
+    lower = F.broadcast(df.sparkSession.createDataFrame(rows, "_to int, _bucket int, _before long"))
+    return df.join(lower, (F.col(to) == F.col("_to")) & (F.col("bucket") == F.col("_bucket")), "left").drop("_to", "_bucket").withColumn("_before", F.coalesce("_before", F.lit(0)))
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -48,35 +48,44 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     n = base.count()
     share = [n // shards + (s < n % shards) for s in range(shards)]
     buckets = max(1, math.isqrt(n // shards))
-    # Bundles are the documents of a group that start in one shard; they move together.
-    linked = base.groupBy("g", "g2", "start").agg(F.count("*").alias("w"))
-    many = linked.groupBy("g", "g2").agg(F.sum("w").alias("all")).where("all > 1").select(F.col("g").alias("_g"), F.col("g2").alias("_g2"))
-    bundles = cut(linked.join(many, (F.col("g") == F.col("_g")) & (F.col("g2") == F.col("_g2"))).select("g", "g2", "start", "w", F.col("start").alias("shard")))
+    # Bundles are the documents of a group that start in one shard; they move together. A group's bundles, at most one for each shard, are in one
+    # bucket, so that a round deals them out once, by buckets.
+    linked = base.groupBy("g", "g2", "start").agg(F.count("*").alias("w")).withColumn("bucket", F.pmod(F.xxhash64("g", "g2"), F.lit(buckets)).cast("int"))
+    group = Window.partitionBy("bucket", "g", "g2")
+    bundles = linked.repartition("bucket").withColumn("all", F.sum("w").over(group)).where("all > 1")
+    bundles = cut(bundles.select("g", "g2", "start", "w", "bucket", F.col("start").alias("shard")))
+    load = _loads(bundles, F.col("w"), shards)
     for _ in range(rounds):
-        room = [max(0, s - x) for s, x in zip(share, _loads(bundles, F.col("w"), shards))]
-        near = bundles.groupBy("g", "g2", "shard").agg(F.sum("w").alias("in_shard")).groupBy("g", "g2").agg(F.collect_list(F.struct("in_shard", (-F.col("shard")).alias("minus"))).alias("in_shards"))
-        near = near.select(F.col("g").alias("_g"), F.col("g2").alias("_g2"), "in_shards")  # at most an entry for each shard
-        b = bundles.join(near, (F.col("g") == F.col("_g")) & (F.col("g2") == F.col("_g2"))).drop("_g", "_g2")
+        room = [max(0, s - x) for s, x in zip(share, load)]
+        b = bundles.repartition("bucket").withColumn("in_shard", F.sum("w").over(Window.partitionBy("bucket", "g", "g2", "shard")))
+        b = b.withColumn("in_shards", F.collect_set(F.struct("in_shard", (-F.col("shard")).alias("minus"))).over(group))  # at most an entry for each shard
         own = F.array_max(F.filter("in_shards", lambda x: x["minus"] == -F.col("shard")))
         # Most neighbours, where there is room; of equal shards the first. No bundle moves to fewer neighbours, so none goes back and forth.
         best = F.array_max(F.filter("in_shards", lambda x: (x > own) & (_pick(room, (-x["minus"]).cast("int")) >= F.col("w"))))
-        b = b.withColumn("want", F.coalesce((-best["minus"]).cast("int"), F.col("shard"))).drop("in_shards")
-        move = b.where("want <> shard").withColumn("bucket", F.pmod(F.xxhash64("g", "g2"), F.lit(buckets)).cast("int"))
-        move = _prefix(move, ["want"], "bucket", ["g", "g2", "start"], "w", "before")
-        fits = F.col("before") + F.col("w") <= _pick(room, F.col("want"))
-        moved = cut(move.select("g", "g2", "start", "w", F.when(fits, F.col("want")).otherwise(F.col("shard")).alias("shard")).unionByName(b.where("want = shard").select("g", "g2", "start", "w", "shard")))
-        settled = moved.exceptAll(bundles).isEmpty()
-        bundles = moved
-        if settled:
+        b = b.withColumn("want", F.coalesce((-best["minus"]).cast("int"), F.col("shard"))).drop("in_shards", "in_shard")
+        b = b.withColumn("moving", F.when(F.col("want") != F.col("shard"), F.col("w")).otherwise(F.lit(0)))
+        queue = Window.partitionBy("bucket", "want").orderBy("g", "g2", "start")
+        b = b.withColumns({"upto": F.sum("moving").over(queue.rowsBetween(Window.unboundedPreceding, 0)), "last": F.lead("w").over(queue).isNull()})
+        b = cut(b)
+        totals = [tuple(r) for r in b.where("last and upto > 0").select("want", "bucket", "upto").collect()]
+        if not totals:
+            break
+        fits = (F.col("moving") > 0) & (F.col("_before") + F.col("upto") <= _pick(room, F.col("want")))
+        moved = _before(b, "want", totals).withColumn("shard", F.when(fits, F.col("want")).otherwise(F.col("shard")))
+        bundles = moved.select("g", "g2", "start", "w", "bucket", "shard")
+        before, load = load, _loads(bundles, F.col("w"), shards)
+        if load == before and moved.where((F.col("moving") > 0) & (F.col("shard") == F.col("want"))).isEmpty():
             break
     to = small(bundles.select(F.col("g").alias("_g"), F.col("g2").alias("_g2"), F.col("start").alias("_s"), F.col("shard").alias("_to")))
     on = (F.col("g") == F.col("_g")) & (F.col("g2") == F.col("_g2")) & (F.col("start") == F.col("_s"))
     placed = base.join(to, on, "left").select("doc_id", "size", "text_crc32", "u", F.coalesce("_to", "start").alias("shard"), F.col("_to").isNull().alias("free"))
     # Linked documents take the first slots, so that those beyond a shard's share are free ones while it has some.
     placed = cut(placed.withColumns({"bucket": (F.pmod("u", F.lit(buckets)) + F.when(F.col("free"), buckets).otherwise(0)).cast("int"), "one": F.lit(1).cast("long")}))
-    load = _loads(placed, F.col("one"), shards)
+    totals = [tuple(r) for r in placed.groupBy("shard", "bucket").agg(F.sum("one")).collect()]
+    load = [sum(x for t, _, x in totals if t == s) for s in range(shards)]
     spare, lack = [max(0, x - s) for s, x in zip(share, load)], [max(0, s - x) for s, x in zip(share, load)]
-    ranked = _prefix(placed, ["shard"], "bucket", ["u", "doc_id"], "one", "rank")
+    w = Window.partitionBy("shard", "bucket").orderBy("u", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = _before(placed.withColumn("_in", F.coalesce(F.sum("one").over(w), F.lit(0))), "shard", totals).withColumn("rank", F.col("_before") + F.col("_in"))
     starts = lambda v: [sum(v[:i]) for i in range(shards)]
     over = F.col("rank") - _pick(share, F.col("shard")) + _pick(starts(spare), F.col("shard"))  # this document's place among all that must move
     to_shard, to_slot = F.lit(None).cast("int"), F.lit(None).cast("long")

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from meshwright.llm import host_paths, kernel, lang_svm, probminhash, weak_rules
+from meshwright.llm import host_paths, kernel, label_shards, lang_svm, probminhash, weak_rules
 from meshwright.llm.textstats import stats
 
 
@@ -92,3 +92,21 @@ def test_pipeline_loses_no_pair_of_split_buckets(spark, monkeypatch):
     assert kept(8) == whole and len(whole) < 230
     monkeypatch.setattr(probminhash, "_classes", classes)
     assert {r["doc_id"] for r in probminhash.keep_one(d, 8, 0.33, 0).collect()} == whole
+
+
+def test_rounds_of_shards_deal_bundles_out_once(spark):
+    """Sharding runs few tasks beside those of the rows, as a cluster of many partitions pays for each of them in every round."""
+    rnd = random.Random(8)
+    rows = [(i, f"copy {rnd.randrange(60)}" if i % 2 else f"text {i}") for i in range(2000)] + [(i, "a hot text") for i in range(2000, 2600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    sc, ran = spark.sparkContext, 0
+    sc.setJobGroup("shards", "")
+    try:
+        got = label_shards.assign(d).groupBy("shard").count().collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    for job in sc.statusTracker().getJobIdsForGroup("shards"):
+        for stage in sc.statusTracker().getJobInfo(job).stageIds:
+            info = sc.statusTracker().getStageInfo(stage)
+            ran += bool(info and info.numCompletedTasks)
+    assert {r["count"] for r in got} == {162, 163} and ran < 110
