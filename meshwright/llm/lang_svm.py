@@ -161,7 +161,7 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG, train_rows: int = TRAIN_ROW
 
     # The sample is chosen before any features are made: rows by the hash of their id, at each language's rate.
     pick = known.join(small(rates), F.col("lang") == F.col("_lang")).where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(9)), F.lit(1_000_000)) < F.col("_share"))
-    sample = pick.select("text", "lang", "_whole").mapInArrow(featured, "lang string, _whole boolean, x binary, letter boolean").where("letter")
+    sample = pick.select("text", "lang", "_whole").mapInArrow(K.tidy(featured), "lang string, _whole boolean, x binary, letter boolean").where("letter")
     sample = sample.orderBy(~F.col("_whole"), F.xxhash64("x"), "x", "lang").limit(train_rows)  # languages taken whole come first
 
     def fitted(batches):
@@ -171,7 +171,7 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG, train_rows: int = TRAIN_ROW
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Hierarchy(x, lang))], pa.binary())], names=["model"])
 
     # The bounded sample is one task's, which returns the weights alone.
-    made = sample.mapInArrow(fitted, "model binary").collect()
+    made = sample.mapInArrow(K.tidy(fitted), "model binary").collect()
     return pickle.loads(made[0]["model"]) if made else Hierarchy(np.zeros((0, DIM), np.float32), [])
 
 
@@ -193,7 +193,7 @@ def identify(docs: DataFrame, per_lang: int = PER_LANG, train_rows: int = TRAIN_
                 lang, score = _predict(model, a)
                 yield pa.RecordBatch.from_arrays([ids.slice(i, len(a)).cast(pa.int64()), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    found = docs.select("doc_id", "text").mapInArrow(K.tidy(run), "doc_id long, lang_pred string, score double")
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
@@ -207,4 +207,4 @@ def keep_known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
                 lang, score = _predict(model, a)
                 yield b.slice(i, len(a)).filter(pa.array((lang != "und") & (score >= least)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(K.tidy(run), docs.schema)

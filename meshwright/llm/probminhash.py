@@ -126,7 +126,7 @@ def sketch(docs: DataFrame, avoid: list[int]) -> DataFrame:
                     yield sketched(*(x.take(pa.array(again)) for x in own), n[again], won, True)
 
     own = bounded(docs).select("doc_id", "text", _nid(avoid).alias("nid"), _second("text").alias("nid2"))
-    return own.mapInArrow(run, "doc_id long, nid long, nid2 long, plain boolean, n long, sig binary, bands array<long>")
+    return own.mapInArrow(K.tidy(run), "doc_id long, nid long, nid2 long, plain boolean, n long, sig binary, bands array<long>")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -179,7 +179,7 @@ def verified(pairs: DataFrame, docs: DataFrame, least: float, avoid: list[int])
             pick = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([u.take(pick), v.take(pick)], names=["u", "v"])
 
-    return cut(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
+    return cut(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(K.tidy(run), "u long, v long"))
 
 
 def _linked(nid, comp, n, block, sig, marks, mask, bands, x: int, y: int, sets: list, least: float, equal: int = LEAST_EQUAL) -> list[tuple[int, int]]:
@@ -267,7 +267,7 @@ def _compared(rows: DataFrame, groups: int, least: float, equal: int) -> DataFra
             out += links(held)
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["u", "v"])
 
-    return rows.select(*_ROW).repartition(groups, "k", "x", "y").sortWithinPartitions("k", "x", "y").mapInArrow(run, "u long, v long")
+    return rows.select(*_ROW).repartition(groups, "k", "x", "y").sortWithinPartitions("k", "x", "y").mapInArrow(K.tidy(run), "u long, v long")
 
 
 def _lone(nid, comp, block, sig, marks, x: int, y: int, equal: int):
@@ -319,7 +319,7 @@ def _alone(rows: DataFrame, groups: int, equal: int) -> DataFrame:
         if held:
             yield from found()
 
-    return rows.select("k", "x", "y", "block", "nid", "comp", "sig").repartition(groups, "k", "x", "y").sortWithinPartitions("k", "x", "y").mapInArrow(run, "u long, v long")
+    return rows.select("k", "x", "y", "block", "nid", "comp", "sig").repartition(groups, "k", "x", "y").sortWithinPartitions("k", "x", "y").mapInArrow(K.tidy(run), "u long, v long")
 
 
 def _met(rows: DataFrame) -> DataFrame:

@@ -115,4 +115,4 @@ def text_stats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
                 s = stats(a)
                 yield pa.RecordBatch.from_arrays([*(x.slice(i, len(a)) for x in own), *(pa.array(s[c].astype(np.int64)) for c in COUNTS)], names=[*carry, *COUNTS])
 
-    return bounded(docs).select(*carry, "text").mapInArrow(run, schema)
+    return bounded(docs).select(*carry, "text").mapInArrow(K.tidy(run), schema)

@@ -1,13 +1,16 @@
 """Operators on what a bound or a cut-off would leave out."""
 
 import random
+import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from meshwright.llm import host_paths, kernel, label_shards, lang_svm, probminhash, weak_rules
-from meshwright.llm.textstats import stats
+from meshwright.llm.textstats import stats, text_stats
 
 
 def test_variety_of_any_length(spark):
@@ -110,3 +113,23 @@ def test_rounds_of_shards_deal_bundles_out_once(spark):
             info = sc.statusTracker().getStageInfo(stage)
             ran += bool(info and info.numCompletedTasks)
     assert {r["count"] for r in got} == {162, 163} and ran < 110
+
+
+def test_workers_give_memory_back(spark):
+    """Python workers live on: what a stage's tasks have freed isn't kept beside the memory of the next stage."""
+
+    def kept(batches):
+        own = lambda: sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+        for _ in batches:
+            pass
+        held = own()
+        kernel.give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([held - own()])], names=["mb"])
+
+    d = spark.range(0, 12_000, 1, 4).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(400)), lambda i: F.hex(F.xxhash64("id", i)))).alias("text")).cache()
+    d.count()
+    for stage in (lambda: text_stats(d), lambda: probminhash.sketch(d, []), lambda: lang_svm.keep_known(d.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("de")))):
+        stage().write.format("noop").mode("overwrite").save()
+        most = max(r["mb"] for r in spark.range(0, 4, 1, 4).mapInArrow(kept, "mb double").collect())
+        assert most < 20, most
+    d.unpersist()
